@@ -5,10 +5,11 @@ SuperMinHash ranks the slots for every element by a random permutation and keeps
 slot is filled: a few hundred shingles need one or two rounds, not one hash per slot and shingle.
 
 Documents with one and the same set are one class (grouped by a 128-bit digest, partly aggregated before the
-shuffle), so thousands of copies cost one row. Classes are banded; within a bucket, members are compared with
-a pivot and not with each other. A bucket whose members have not all met in one component is looked at again
-with other pivots, and after `pivot_rounds` each pair of it that is still apart is compared exactly, so no
-link between bucket mates is lost.
+shuffle), so thousands of copies cost one row. Classes are banded; within a bucket, members are first compared
+with one pivot and not with each other. Where that leaves a bucket in several components, the members outside the
+largest one are residents of bounded blocks, and the others stream past them: all pairs that are still apart are
+compared exactly, through an inverted index of the block, and only joining links are put out. So no link between
+bucket mates is lost, and no table of all pairs is made.
 
 Defined cases: null or empty text has an empty set and links with nothing; a text of fewer words than the
 shingle width has one shingle; rows that repeat a doc_id count as one document by its smallest component and
@@ -112,7 +113,51 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, pivot_rounds: int = 3) -> DataFrame:
+def _stream(percent: int):
+    """Residents (role 0) of a block come first; every later row (role 1) is compared with all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple[int, int] | None = None
+        held: list[tuple[int, int, np.ndarray]] = []
+        index: tuple | None = None
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for pivot, salt, role, cid, component, packed in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+                if (pivot, salt) != at:
+                    at, held, index, parent = (pivot, salt), [], None, {}
+                elements = np.frombuffer(packed, dtype=np.uint64)
+                if not role:
+                    held.append((cid, component, elements))
+                    continue
+                if index is None:
+                    owner = np.repeat(np.arange(len(held)), [len(e) for _, _, e in held])
+                    keys = np.concatenate([e for _, _, e in held])
+                    order = np.argsort(keys, kind="stable")
+                    index = keys[order], owner[order], np.array([len(e) for _, _, e in held])
+                keys, owner, sizes = index
+                low, high = np.searchsorted(keys, elements, "left"), np.searchsorted(keys, elements, "right")
+                n = high - low
+                ends = np.cumsum(n)
+                hits = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - ends + n, n)
+                common = np.bincount(owner[hits], minlength=len(held))
+                for k in np.flatnonzero(100 * common >= percent * (sizes + len(elements) - common)).tolist():
+                    x, y = root(component), root(held[k][1])
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        found.append((cid, held[k][0]))
+            yield pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, block: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents tied by a chain of links of `percent` Jaccard or more.
 
     With 24 bands of 4 slots a pair at 0.8 shares a bucket with probability 1 - 3e-6.
@@ -130,7 +175,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         links = classes.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
         labels = connected(links).withColumnRenamed("node", "cid")
     else:
-        labels = _link(docs, mates, width, percent, pivot_rounds)
+        labels = _link(docs, mates, width, percent, block)
     of_class = classes.join(labels, "cid", "left").select("d1", "d2", F.coalesce("component", "cid").alias("class_component"))
     named = signed.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
@@ -139,53 +184,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return known.union(out.where("doc_id is null")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _link(docs: DataFrame, mates: DataFrame, width: int, percent: int, pivot_rounds: int) -> DataFrame:
+def _link(docs: DataFrame, mates: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     wanted = mates.select("cid").distinct()
     # Rows that repeat a doc_id may hold other texts: each set of such a document is compared.
     texts = docs.select(F.col("doc_id").alias("cid"), "text").join(wanted, "cid", "left_semi")
     sets = keep(texts.mapInArrow(_sets(width), "cid long, elements binary").distinct(), "sets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("cid").alias("a"), F.col("elements").alias("ea"))
-        right = sets.select(F.col("cid").alias("b"), F.col("elements").alias("eb"))
-        joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "eb")
-        return joined.mapInArrow(_confirm(percent), "a long, b long, linked boolean")
-
-    near = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-
-    def starred(rows: DataFrame, salt: int) -> DataFrame:
-        order = F.col("cid") if salt == 0 else F.xxhash64("cid", F.lit(salt))
-        pivot = rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "cid", "n", "component")).alias("p"))
-        pivot = pivot.select("bucket", F.col("p.cid").alias("pid"), F.col("p.n").alias("pn"), F.col("p.component").alias("pc"))
-        met = rows.join(pivot, "bucket").where((F.col("component") != F.col("pc")) & near)
-        return met.select(F.least("pid", "cid").alias("a"), F.greatest("pid", "cid").alias("b")).distinct()
-
-    tried = None
-    links = None
-    labels = None
-    open_rows = mates.withColumn("component", F.col("cid"))
-    for salt in range(pivot_rounds + 1):
-        if salt == pivot_rounds:
-            x, y = open_rows, open_rows.select("bucket", F.col("cid").alias("pid"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-            pairs = x.join(y, "bucket").where((F.col("component") < F.col("pc")) & near).select(F.least("pid", "cid").alias("a"), F.greatest("pid", "cid").alias("b")).distinct()
-        else:
-            pairs = starred(open_rows, salt)
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        seen = keep(confirmed(pairs), "tried")
-        tried = seen if tried is None else tried.unionByName(seen)
-        fresh = seen.where("linked").select("a", "b")
-        if salt and fresh.isEmpty():
-            if salt == pivot_rounds:
-                break
-            continue
-        links = fresh if links is None else links.union(fresh)
-        labels = keep(connected(links), "labels")
-        if salt == pivot_rounds:
-            break
-        named = mates.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        split = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-        open_rows = keep(named.join(split, "bucket").select("cid", "n", "bucket", "component"), "open")
-        if open_rows.isEmpty():
-            break
-    return labels.withColumnRenamed("node", "cid")
+    # Every member with its bucket's pivot.
+    pivot = mates.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("p"))
+    near = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
+    pairs = mates.join(pivot, "bucket").where((F.col("cid") != F.col("p.cid")) & near).select(F.col("p.cid").alias("a"), F.col("cid").alias("b")).distinct()
+    left = sets.select(F.col("cid").alias("a"), F.col("elements").alias("ea"))
+    right = sets.select(F.col("cid").alias("b"), F.col("elements").alias("eb"))
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "eb")
+    links = keep(joined.mapInArrow(_confirm(percent), "a long, b long, linked boolean").where("linked").select("a", "b").distinct(), "links")
+    labels = keep(connected(links).withColumnRenamed("node", "cid"), "labels")
+
+    # Buckets that are still in several components; their pivot is now the member with most links, which
+    # tends to be the same in all bands, so a member belongs to few families.
+    degree = links.groupBy(F.col("b").alias("cid")).agg(F.count(F.lit(1)).alias("degree"))
+    named = mates.join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid")).join(degree, "cid", "left")
+    hub = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), (-F.col("cid")).alias("c")))
+    split = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub.alias("h")).where("low != high")
+    family = keep(named.join(split.select("bucket", (-F.col("h.c")).alias("pivot")), "bucket").select("pivot", "cid", "component").distinct(), "families")
+    if family.isEmpty():
+        return labels
+    sizes = family.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("k"))
+    whole = sizes.groupBy("pivot").agg(F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("top"))
+    whole = whole.select("pivot", F.col("top.component").alias("largest"), F.ceil((F.col("all") - F.col("top.k")) / block).cast("int").alias("blocks")).where("blocks > 0")
+    members = family.join(whole, "pivot")
+    resident = members.where("component != largest").select("pivot", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("salt"), F.lit(0).alias("role"), "cid", "component")
+    passing = members.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(1).alias("role"), "cid", "component")
+    rows = resident.union(passing).join(sets, "cid").select("pivot", "salt", "role", "cid", "component", "elements")
+    dealt = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
+    more = keep(dealt.mapInArrow(_stream(percent), "a long, b long"), "more-links")
+    if more.isEmpty():
+        return labels
+    joined = connected(links.union(more))
+    return joined.withColumnRenamed("node", "cid")
