@@ -47,9 +47,8 @@ def counts(block: Block, window: int = 5) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(data == 10)
     line_start = np.unique(np.concatenate((block.offset[:-1], breaks + 1)))
     line_start = line_start[line_start < len(data)]
-    line_end = np.append(line_start[1:], len(data))
-    ends_in_break = data[line_end - 1] == 10 if len(line_end) else np.zeros(0, dtype=bool)
-    line_end = line_end - ends_in_break
+    line_end = np.append(line_start[1:], len(data))[: len(line_start)]
+    line_end = line_end - (data[line_end - 1] == 10)
     line_doc = np.searchsorted(block.offset, line_start, side="right") - 1
     has_word = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
     line_start, line_end, line_doc = line_start[has_word], line_end[has_word], line_doc[has_word]
