@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, codes, merkle, minhash, packing, pieces, ranker, rules, substring, toxicity
+from . import chat, codes, merkle, minhash, oracles, packing, pieces, ranker, rules, substring, toxicity
 from .storage import shared_folder
 
 
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_minhash": oracles.OP1, "op3_quality_rules": oracles.OP3, "op10_chat": oracles.OP10}

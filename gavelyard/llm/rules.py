@@ -90,4 +90,4 @@ def adaptive_rules(docs: DataFrame, least_rows: int = 200) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     within = (F.col("symbols") <= F.col("symbols_high")) & (F.col("dup_lines") <= F.col("dup_lines_high")) & F.col("word_length").between(F.col("word_length_low"), F.col("word_length_high"))
     out = joined.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(within, F.lit(True)))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("symbols_high"), F.col("dup_lines_high"), F.col("word_length_low"), F.col("word_length_high"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[F.round(c, 6).alias(c) for c in ("symbols_high", "dup_lines_high", "word_length_low", "word_length_high")])
