@@ -81,11 +81,12 @@ def adaptive_rules(docs: DataFrame, least_rows: int = 200) -> DataFrame:
     base = keep(base, "sketches")
     of_source = fences(base, "lang", "source")
     of_lang = fences(merged(base, "lang"), "lang")
-    of_all = fences(merged(base.withColumn("every", F.lit(1)), "every"), "every")
-    names = ["rows", *[f"{m}_{side}" for m in SLACK for side in ("low", "high")]]
-    given = of_source.alias("s").join(of_lang.alias("l"), "lang").withColumn("every", F.lit(1)).join(of_all.alias("a"), "every")
-    level = lambda c: F.when(F.col("s.rows") >= least_rows, F.col(f"s.{c}")).when(F.col("l.rows") >= least_rows, F.col(f"l.{c}")).otherwise(F.col(f"a.{c}"))
-    limits = given.select("lang", "source", *[level(c).alias(c) for c in names[1:]])
+    # one row: the fences of all rows together
+    whole = fences(merged(base.withColumn("every", F.lit(1)), "every"), "every").first()
+    names = [f"{m}_{side}" for m in SLACK for side in ("low", "high")]
+    given = of_source.alias("s").join(of_lang.alias("l"), "lang")
+    level = lambda c: F.when(F.col("s.rows") >= least_rows, F.col(f"s.{c}")).when(F.col("l.rows") >= least_rows, F.col(f"l.{c}")).otherwise(F.lit(whole and whole[c]))
+    limits = given.select("lang", "source", *[level(c).alias(c) for c in names])
     joined = _measures(rows).join(limits, ["lang", "source"], "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     within = (F.col("symbols") <= F.col("symbols_high")) & (F.col("dup_lines") <= F.col("dup_lines_high")) & F.col("word_length").between(F.col("word_length_low"), F.col("word_length_high"))
