@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .storage import keep
-from .tokens import Encoder
+from .tokens import encoder as shared_encoder
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -32,7 +32,7 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)

@@ -1,48 +1,88 @@
 """Token ids of whole texts with a byte-level BPE of the tokenizers library.
 
-Such a tokenizer divides a text before it merges, always in front of a lone space between two visible
-characters. The stretches between these places are encoded by the library and remembered as packed bytes, so
-the words that a corpus repeats cost one look-up. Results equal encoding the whole text.
+Such a tokenizer divides a text before it merges. It always divides in front of a lone space between two visible
+characters, so stretches between these places are remembered as packed bytes and a repeated word costs one
+look-up. A new stretch is divided on by the tokenizer's own pattern, and only parts that are new as well (not
+"word," where "word" and "," are known) go through the library's BPE model, in its byte alphabet and without the
+offsets that whole encodings carry. Results equal encoding the whole text.
+A worker process keeps its memory for later tasks; it is bounded and starts anew when full.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s|^\s|\s$")
+#: Fixed value: the public pattern that byte-level BPE of this family divides texts by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder for a tokenizer file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+class _Memory(dict):
+    """Packed ids by stretch; `new` computes those of an unknown one."""
+
+    new = None
+
+    def __missing__(self, stretch: str) -> bytes:
+        packed = self[stretch] = self.new(stretch)
+        return packed
 
 
 class Encoder:
     """ids(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most_cached: int = 300_000):
+    def __init__(self, path: str, most_cached: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.most_cached = most_cached
-        self.cache: dict[str, bytes] = {}
+        self.divide = regex.compile(PATTERN).findall
+        # the byte alphabet: visible Latin-1 characters stand for themselves, the rest for those from U+0100 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+        # A stretch is kept without the space in front of it; one without such a space is marked by a NUL.
+        self.known = _Memory()
+        self.known.new = self._stretch
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        import numpy as np
-
-        cut = []
+        if len(self.known) > self.most_cached:
+            self.known.clear()
+        get, out = self.known.__getitem__, []
         for text in texts:
-            parts = (_GAP.split(text) if _ODD.search(text) else text.split(" ")) if text else []
-            # only the first stretch has no space in front; a mark that no text part starts with tells it apart
-            if parts:
-                parts[0] = "\0" + parts[0]
-            cut.append(parts)
-        if len(self.cache) > self.most_cached:
-            self.cache.clear()
-        cache = self.cache
-        missing = list({p for parts in cut for p in parts if p not in cache})
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            plain = [p[1:] if p[:1] == "\0" else " " + p for p in some]
-            for p, got in zip(some, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-                cache[p] = np.array(got.ids, dtype="<u4").tobytes()
-        return [b"".join([cache[p] for p in parts]) for parts in cut]
+            if not text:
+                out.append(b"")
+                continue
+            found = _GAP.split(text) if _ODD.search(text) else text.split(" ")
+            found[0] = "\0" + found[0]
+            out.append(b"".join(map(get, found)))
+        return out
+
+    def _stretch(self, s: str) -> bytes:
+        if s.isalpha():
+            return self._part(" " + s)
+        if s[:-1].isalpha() and s[-1] in ".,;:!?":
+            return self.known[s[:-1]] + self.known["\0" + s[-1]]
+        if s[:1] == "\0" and s[1:].isalpha():
+            return self._part(s[1:])
+        parts = self.divide(s[1:] if s[:1] == "\0" else " " + s)
+        if len(parts) == 1:
+            return self._part(parts[0])
+        return b"".join([self.known[p[1:]] if p[0] == " " and p[1:].strip() else self.known["\0" + p] for p in parts])
+
+    def _part(self, p: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(p.encode().decode("latin-1").translate(self.alphabet))]
+        return struct.pack(f"<{len(ids)}I", *ids)
