@@ -8,8 +8,9 @@ and each is relaxed against the best way to the place where it starts:
   the last piece of the encoding that ends where it starts, that is if merging the two pieces' characters gives
   back just these two. Exactly one piece passes, and the result is the model's own encoding.
 
-Where no piece ever has a visible character in front of a space mark, stretches begin at space marks and are
-remembered, so repeated words cost one look-up.
+Where no piece ever has a visible character in front of a space mark, stretches begin at space marks (and end at
+line ends, if no piece has one) and are remembered, so repeated words cost one look-up. A worker process keeps its
+model and this memory, which is bounded, for later tasks.
 """
 
 from __future__ import annotations
@@ -55,10 +56,21 @@ def message(data: bytes) -> Iterator[tuple[int, object]]:
         yield key >> 3, value
 
 
+class Stretches(dict):
+    """Packed ids by stretch, computed on first use."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __missing__(self, stretch: str) -> bytes:
+        packed = self[stretch] = self.model._pack(stretch)
+        return packed
+
+
 class Model:
     """A model file of the public SentencePiece format, with identity normalisation."""
 
-    def __init__(self, data: bytes, kind: int | None = None, most_cached: int = 300_000):
+    def __init__(self, data: bytes, kind: int | None = None, most_cached: int = 1_000_000):
         import ahocorasick
 
         self.pieces: list[str] = []
@@ -92,9 +104,15 @@ class Model:
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
+        self.alone = bool(self.bytes) and not any("\n" in p for p in self.ids)
+        stop = "\n" if self.alone else ""
+        self.stretches = re.compile(f"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+|\n").findall
         self.most_cached = most_cached
-        self.cache: dict[str, bytes] = {}
-        self.neighbours: dict[tuple[str, str], bool] = {}
+        self.cache = Stretches(self)
+        self.neighbours: dict[int, bool] = {}
+        self.wholes: dict[int, bool] = {}
+        spelled = [b"" if i in self.hidden else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.spelled = [bytes([self.of_byte[i]]) if i in self.of_byte else " ⁇ ".encode() if i == self.unknown else b for i, b in enumerate(spelled)]
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: of all neighbours whose union is a piece the best scored, leftmost first, is merged."""
@@ -109,59 +127,80 @@ class Model:
                 return parts
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
-    def _may_follow(self, a: str, b: str) -> bool:
-        known = self.neighbours.get((a, b))
+    def _may_follow(self, a: int, b: int) -> bool:
+        """Whether merging the characters of pieces a and b gives back just these two."""
+        key = a << 32 | b
+        known = self.neighbours.get(key)
         if known is None:
             if len(self.neighbours) > 2_000_000:
                 self.neighbours.clear()
-            known = self.neighbours[a, b] = self.merged(a + b) == [a, b]
+            pair = [self.pieces[a], self.pieces[b]]
+            known = self.neighbours[key] = self.merged(pair[0] + pair[1]) == pair
+        return known
+
+    def _whole(self, i: int) -> bool:
+        """Whether merging the characters of piece i gives the piece."""
+        known = self.wholes.get(i)
+        if known is None:
+            known = self.wholes[i] = self.merged(self.pieces[i]) == [self.pieces[i]]
         return known
 
+    def _split_bpe(self, stretch: str) -> list[int] | None:
+        """Ids of a stretch of known characters; None where a character or a chain of pieces is missing."""
+        n = len(stretch)
+        last: list[int] = [-1] * (n + 1)
+        size: list[int] = [0] * (n + 1)
+        neighbours = self.neighbours
+        for end, (length, i) in self.automaton.iter(stretch):
+            end += 1
+            if last[end] >= 0:
+                continue
+            start = end - length
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                known = neighbours.get(before << 32 | i)
+                if not (self._may_follow(before, i) if known is None else known):
+                    continue
+            elif length > 1 and not self._whole(i):
+                continue
+            last[end], size[end] = i, length
+        out = []
+        while n:
+            if last[n] < 0:
+                return None
+            out.append(last[n])
+            n -= size[n]
+        return out[::-1]
+
     def split(self, stretch: str) -> list[tuple[str, int | None]]:
         """(text, id) of the pieces of a stretch; a character of no piece has id None."""
+        if self.kind == BPE:
+            ids = self._split_bpe(stretch)
+            # characters of no piece, or pieces that merging never makes: merge by definition
+            return [(p, self.ids.get(p)) for p in self.merged(stretch)] if ids is None else [(self.pieces[i], i) for i in ids]
         n = len(stretch)
-        ending: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(stretch):
-            ending[end].append(found)
         best: list[float | None] = [0.0] + [None] * n
         back: list[tuple[int, int | None]] = [(0, None)] * (n + 1)
-        bpe = self.kind == BPE
+        found: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        for end, piece in self.automaton.iter(stretch):
+            found[end + 1].append(piece)
         for end in range(1, n + 1):
-            single = False
-            for length, i in ending[end - 1]:
-                single |= length == 1
-                start = end - length
-                if best[start] is None:
-                    continue
-                if bpe:
-                    if start and not self._may_follow(stretch[start - back[start][0] : start], stretch[start:end]):
-                        continue
-                    if not start and length > 1 and not self._whole(i):
-                        continue
-                    best[end], back[end] = 0.0, (length, i)
-                    break
-                if best[end] is None or best[start] + self.scores[i] > best[end]:
-                    best[end], back[end] = best[start] + self.scores[i], (length, i)
-            if not single and best[end - 1] is not None and (best[end] is None or not bpe and best[end - 1] + self.unknown_score > best[end]):
-                best[end], back[end] = best[end - 1] + self.unknown_score, (1, None)
+            for length, i in found[end]:
+                score = best[end - length] + self.scores[i]
+                if best[end] is None or score > best[end]:
+                    best[end], back[end] = score, (length, i)
+            lone = best[end - 1] + self.unknown_score
+            if all(length > 1 for length, _ in found[end]) and (best[end] is None or lone > best[end]):
+                best[end], back[end] = lone, (1, None)
         out, at = [], n
         while at:
             length, i = back[at]
-            if not length:
-                # no consistent chain of pieces (pieces that merging never makes): merge by definition
-                return [(p, self.ids.get(p)) for p in self.merged(stretch)]
             out.append((stretch[at - length : at], i))
             at -= length
         return out[::-1]
 
-    def _whole(self, i: int) -> bool:
-        """Whether merging the characters of piece i gives the piece."""
-        p = self.pieces[i]
-        known = self.neighbours.get((p, ""))
-        if known is None:
-            known = self.neighbours[p, ""] = self.merged(p) == [p]
-        return known
-
     def _pack(self, stretch: str) -> bytes:
         ids: list[int] = []
         lost = False  # neighbouring unknown characters are one unknown piece
@@ -186,41 +225,30 @@ class Model:
             text = SPACE + text
         if not self.apart:
             return self._pack(text)
-        cache = self.cache
-        if len(cache) > self.most_cached:
-            cache.clear()
-        out = []
-        for part in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text):
-            got = cache.get(part)
-            if got is None:
-                got = cache[part] = self._pack(part)
-            out.append(got)
-        return b"".join(out)
+        if len(self.cache) > self.most_cached:
+            self.cache.clear()
+        return b"".join(map(self.cache.__getitem__, self.stretches(text)))
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids; byte pieces are joined as UTF-8, control pieces have no text."""
-        out: list[str] = []
-        held = bytearray()
-        of_byte, pieces = self.of_byte, self.pieces
-        for (i,) in struct.iter_unpack("<I", packed):
-            b = of_byte.get(i)
-            if b is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if i not in self.hidden:
-                out.append(" ⁇ " if i == self.unknown else pieces[i])
-        out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        text = b"".join(map(self.spelled.__getitem__, memoryview(packed).cast("I"))).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+_models: dict[str, Model] = {}
+
+
+def shared_model(path: str) -> Model:
+    """This process's model of a file."""
+    if path not in _models:
+        with open(path, "rb") as f:
+            _models[path] = Model(f.read())
+    return _models[path]
+
+
 def _round(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(path, "rb") as f:
-            model = Model(f.read())
+        model = shared_model(path)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -239,8 +267,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        with open(model_path, "rb") as f:
-            model = Model(f.read())
+        model = shared_model(model_path)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 some = batch.slice(i, 512)
@@ -256,8 +283,7 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        with open(model_path, "rb") as f:
-            model = Model(f.read())
+        model = shared_model(model_path)
         for batch in batches:
             texts = [model.decode(np.array(ids or [], dtype="<u4").tobytes()) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
