@@ -7,7 +7,7 @@ documents in ascending doc_id order; its record is
 
     magic "DAC1", ids, levels, then per level: entries, bitmap, directory, chunks
 
-with all numbers little-endian. Segments are rows of a Parquet table (`part`, `seq`, doc ids and ends, payload), so
+with all numbers little-endian. Segments are rows of a Parquet table (part, ids of the part before it, doc ids, payload), so
 Spark's commit protocol covers lost executors and any file system that Spark reads will do.
 
 Defined cases: null and empty texts have the end id alone; rows that repeat a doc_id are written in order of their
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from .tokens import Encoder
+from .tokens import encoder as shared_encoder
 
 CHUNK_BITS = (8, 8, 8, 8)
 _STRIDE = 512
@@ -92,23 +92,23 @@ class Segment:
         return out
 
 
-_SEGMENT = "part int, seq int, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
+_SEGMENT = "part int, before long, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
 
 
 def _write(path: str, segment_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seq = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, before = shared_encoder(path), TaskContext.get().partitionId(), 0
         docs: list[int] = []
         ends: list[int] = []
         held: list[bytes] = []
 
         def segment() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), dtype="<u4")
-            row = [[part], [seq], [len(ids)], [list(docs)], [list(ends)], [encode(ids)]]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            return pa.record_batch([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["part", "seq", "n_ids", "doc_ids", "ends", "payload"])
+            row = [[part], [before], [len(ids)], [list(docs)], [list(ends)], [encode(ids)]]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            return pa.record_batch([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["part", "before", "n_ids", "doc_ids", "ends", "payload"])
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -119,7 +119,7 @@ def _write(path: str, segment_ids: int):
                     ends.append((ends[-1] if ends else 0) + len(ids) // 4 + 1)
                     if ends[-1] >= segment_ids:
                         yield segment()
-                        seq += 1
+                        before += ends[-1]
                         docs.clear()
                         ends.clear()
                         held.clear()
@@ -134,7 +134,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, partitions: int |
     typed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = typed.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = typed.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(_write(tokenizer_path, segment_ids), _SEGMENT).write.option("compression", "zstd").parquet(path)
 
 
@@ -149,18 +149,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def segment_starts(segments: DataFrame) -> DataFrame:
-    """(part, seq, base): ids before each segment. Sums per part are few; a part's own segments are summed apart."""
-    own = Window.partitionBy("part").orderBy("seq")
-    within = segments.select("part", "seq", (F.sum("n_ids").over(own) - F.col("n_ids")).alias("within"))
+def part_starts(segments: DataFrame) -> DataFrame:
+    """(part, start): ids before each part; a row per partition of the writing job, whatever the data's size."""
     line = Window.partitionBy(F.lit(0)).orderBy("part")
-    totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = totals.select("part", (F.sum("n").over(line) - F.col("n")).alias("before"))
-    return within.join(F.broadcast(before), "part").select("part", "seq", (F.col("before") + F.col("within")).alias("base"))
+    totals = segments.groupBy("part").agg(F.max(F.col("before") + F.col("n_ids")).alias("n"))
+    return totals.select("part", (F.sum("n").over(line) - F.col("n")).alias("start"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files under `path`."""
     segments = spark.read.schema(_SEGMENT).parquet(path)
-    placed = segments.join(segment_starts(segments.select("part", "seq", "n_ids")), ["part", "seq"])
-    return placed.select("doc_ids", "ends", "payload", "base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = segments.join(F.broadcast(part_starts(segments.select("part", "before", "n_ids"))), "part")
+    return placed.select("doc_ids", "ends", "payload", (F.col("start") + F.col("before")).alias("base")).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
