@@ -41,7 +41,7 @@ def rotate(turns: DataFrame) -> DataFrame:
     safe = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("< |"))
     rows = turns.select("conv_id", "turn", safe(F.coalesce("role", F.lit("unknown"))).alias("role"), safe(F.col("text")).alias("text"))
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    dealt = keep(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "turns")
+    dealt = keep(rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "turns")
     people = dealt.where(F.col("role") != SYSTEM).groupBy("conv_id").agg(F.sort_array(F.collect_set("role")).alias("people"))
     head, body = _marked(F.col("perspective"), F.col("role"), F.col("text"))
     same = dealt["conv_id"].eqNullSafe(people["conv_id"])
