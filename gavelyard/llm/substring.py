@@ -1,10 +1,15 @@
-"""Substring dedup by hashing lines, and the sentences in them.
-
-Units are normalised (ASCII lower case, runs of white space as one space) and digested to 128 bits; units of
-under `min_words` words are never removed. Digests are grouped globally: per digest only the earliest occurrence
-by (doc_id, offset) is kept. Groups are counted with partial sums before the shuffle and only digests seen twice
-meet their occurrences again, so a line that a third of all documents share is a join with one row on its side,
-which adaptive execution splits. Removed spans keep their original code point offsets.
+"""Substring dedup by hashing lines, the sentences in them, and runs of neighbouring units.
+
+Units are normalised (ASCII lower case, runs of white space as one space) and digested to 128 bits. A line counts
+from `min_words` words or LINE_CHARS characters, a sentence inside a line from `min_words` words or SENTENCE_CHARS
+characters (so text without spaces counts too). What is shorter counts within runs: from each unit on, and up to each
+unit, the fewest neighbouring lines or sentences with RUN_CHARS characters together. So each short unit goes that lies
+in a repeated stretch of whole units of that length; runs that add nothing to this are left out. A part of
+a sentence is no unit: the sentences at which a passage meets other words in one line stay. Digests are grouped
+globally: per digest only the earliest occurrence by (doc_id, offset) is kept. Groups are counted with partial sums
+before the shuffle and only digests seen twice meet their occurrences again, so a line that a third of all documents
+share is a join with one row on its side, which adaptive execution splits. Removed spans keep their original code
+point offsets.
 
 Defined cases: a null text stays null and an empty one empty; a line or sentence repeated inside one document
 counts like one repeated across documents; rows that repeat a doc_id are told apart by a row number; a null doc_id
@@ -23,26 +28,69 @@ from pyspark.sql import DataFrame, functions as F
 
 from .storage import keep
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)|(?<=[。！？])\s*(?=[^\s。！？」』”’）])")
+LINE_CHARS, SENTENCE_CHARS, RUN_CHARS = 16, 40, 100
 _LAST = 2**63 - 1
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _digest(normal: str) -> bytes:
+    return hashlib.blake2b(normal.encode("utf-8", "replace"), digest_size=16).digest()
+
+
 def units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of the lines of `text`, and of the sentences of lines that have several."""
-    at = 0
+    """(start, end, digest) of the lines of `text`, of the sentences of lines that have several, and of runs."""
+    at, pieces, lines = 0, [], set()
     for line in text.split("\n"):
         words = line.split()
-        if len(words) >= min_words:
-            yield at, at + len(line), hashlib.blake2b(" ".join(words).translate(_UPPER).encode("utf-8", "replace"), digest_size=16).digest()
+        if words:
+            normal = " ".join(words).translate(_UPPER)
+            counts = len(words) >= min_words or len(normal) >= LINE_CHARS
+            if counts:
+                lines.add((at, at + len(line)))
+                yield at, at + len(line), _digest(normal)
             start, ends = 0, [m.span() for m in _SENTENCE.finditer(line)]
-            if ends:
+            if not ends:
+                pieces.append((at, at + len(line), normal, counts))
+            else:
                 for gap_start, gap_end in [*ends, (len(line), len(line))]:
                     words = line[start:gap_start].split()
-                    if len(words) >= min_words:
-                        yield at + start, at + gap_start, hashlib.blake2b(" ".join(words).translate(_UPPER).encode("utf-8", "replace"), digest_size=16).digest()
+                    normal = " ".join(words).translate(_UPPER)
+                    counts = len(words) >= min_words or len(normal) >= SENTENCE_CHARS
+                    if counts:
+                        yield at + start, at + gap_start, _digest(normal)
+                    pieces.append((at + start, at + gap_start, normal, counts))
                     start = gap_end
         at += len(line) + 1
+    yield from _runs(pieces, lines)
+
+
+def _runs(pieces: list[tuple[int, int, str, bool]], lines: set[tuple[int, int]]) -> Iterator[tuple[int, int, bytes]]:
+    """The shortest runs of RUN_CHARS characters from each short piece on, and up to each piece with short ones after its first.
+
+    Of a repeated stretch each short piece is in one: the run from it on, or where that is longer than the stretch, the run
+    up to the stretch's end. Runs that are one of `lines` are left out.
+    """
+    if all(p[3] for p in pieces):
+        return
+    upto, short = [0], [0]
+    for _, _, normal, counts in pieces:
+        upto.append(upto[-1] + len(normal))
+        short.append(short[-1] + (not counts))
+    found, i, n = set(), 0, 0
+    for j in range(1, len(upto)):
+        while n < len(upto) - 1 and upto[n] - upto[j - 1] < RUN_CHARS:
+            n += 1
+        if not pieces[j - 1][3] and upto[n] - upto[j - 1] >= RUN_CHARS:
+            found.add((j - 1, n))
+        while upto[j] - upto[i + 1] >= RUN_CHARS:
+            i += 1
+        if upto[j] - upto[i] >= RUN_CHARS and short[j] > short[i + 1]:
+            found.add((i, j))
+    for i, j in sorted(found):
+        start, end = pieces[i][0], pieces[j - 1][1]
+        if (start, end) not in lines:
+            yield start, end, _digest(" ".join(p[2] for p in pieces[i:j]))
 
 
 def _emit(min_words: int):
@@ -50,15 +98,17 @@ def _emit(min_words: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                rank, start, end, digest = [], [], [], []
+                row, span, again, digest = [], [], [], []
                 for r, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for s, e, d in units(text or "", min_words):
-                        rank.append(r)
-                        start.append(s)
-                        end.append(e)
+                    seen: set[bytes] = set()
+                    for s, e, d in sorted(units(text or "", min_words)):
+                        row.append(r)
+                        span.append(s << 32 | e)
+                        again.append(d in seen)
                         digest.append(d)
+                        seen.add(d)
                 d = np.frombuffer(b"".join(digest), dtype=np.int64).reshape(-1, 2)
-                yield pa.record_batch([pa.array(rank, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["row", "start", "end", "d1", "d2"])
+                yield pa.record_batch([pa.array(row, pa.int64()), pa.array(span, pa.int64()), pa.array(again, pa.bool_()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["row", "span", "again", "d1", "d2"])
 
     return run
 
@@ -90,7 +140,7 @@ def _cut(text_at: int, spans_at: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans = batch.column(text_at).to_pylist(), batch.column(spans_at).to_pylist()
-            done = [merge([(x["start"], x["end"]) for x in s]) if s else [] for s in spans]
+            done = [merge([(x >> 32, x & 0xFFFFFFFF) for x in s]) if s else [] for s in spans]
             text = [remove(t, s) if s else t for t, s in zip(texts, done, strict=True)]
             cols = [batch.column(i) for i in range(width)]
             cols[text_at] = pa.array(text, pa.string())
@@ -113,16 +163,17 @@ def drop_repeated_units(docs: DataFrame, min_words: int = 8) -> DataFrame:
         ids = rows.select("doc_id", "text", "_row")
     else:
         rows, ids = docs.withColumn("_row", F.col("doc_id")), ids.withColumn("_row", F.col("doc_id"))
-    schema = "row long, start int, end int, d1 long, d2 long"
-    found = keep(ids.select("_row", "text").mapInArrow(_emit(min_words), schema), "units")
+    # span: start in the upper half, end in the lower one. again: a row's own repeats, which go in any case, so only the
+    # first occurrences of each row are grouped, by the row alone; narrow rows keep the two shuffles small.
+    found = keep(ids.select("_row", "text").mapInArrow(_emit(min_words), "row long, span long, again boolean, d1 long, d2 long"), "units")
+    firsts, place = found.where("not again"), F.col("row")
     if twice:
-        found = found.join(ids.select(F.col("_row").alias("row"), F.coalesce("doc_id", F.lit(_LAST)).alias("rank")), "row")
-    else:
-        found = found.withColumn("rank", F.col("row"))
-    place = F.struct("rank", "row", "start", "end")
-    groups = found.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("d1", "d2", "first")
-    gone = found.join(groups, ["d1", "d2"]).where(place != F.col("first")).select("row", "start", "end")
-    spans = gone.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("_spans")).withColumnRenamed("row", "_row")
+        firsts = firsts.join(ids.select(F.col("_row").alias("row"), F.coalesce("doc_id", F.lit(_LAST)).alias("rank")), "row")
+        place = F.struct("rank", "row")
+    groups = firsts.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("d1", "d2", "first")
+    later = firsts.join(groups, ["d1", "d2"]).where(place != F.col("first")).select("row", "span")
+    gone = later.unionByName(found.where("again").select("row", "span"))
+    spans = gone.groupBy("row").agg(F.collect_set("span").alias("_spans")).withColumnRenamed("row", "_row")
     joined = rows.join(spans, "_row", "left").select(*[F.col(c) for c in names], "_spans")
     out = schema_with(docs, "removed array<struct<start:int,end:int>>")
     return joined.mapInArrow(_cut(names.index("text"), len(names), len(names)), out)

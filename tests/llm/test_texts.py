@@ -113,6 +113,21 @@ def test_substring_dedup(spark):
     assert substring.drop_repeated_units(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_substring_dedup_of_short_units(spark):
+    verse = [f"line {w} of it" for w in "one two three four five six seven eight nine ten".split()]
+    talk = "Who is there? It is me. Come in then. Thank you very much. Sit down. I would rather stand here. As you like it. Well then, good night."
+    wide = "這是一個沒有空格的句子而且相當長。"
+    rows = [
+        (1, "\n".join(["Start.", *verse, "End."])), (2, "\n".join(["Other words.", *verse, "Last words."])), (3, "Before we begin. " + talk + " After all of it we left."),
+        (4, "Some host has it. " + talk + " Nothing else."), (5, "a\nAll rights reserved.\nb"), (6, "c\nAll rights reserved.\nd"), (7, wide + "甲"), (8, "乙\n" + wide + "\nok\n" + wide), (9, "ok\nyes"), (10, "yes\nok"),
+    ]
+    got = {r.doc_id: r.text for r in substring.drop_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2] == "Other words.\nLast words." and got[4] == "Some host has it.  Nothing else." and got[6] == "c\nd"
+    assert got[8] == "乙\n" + wide + "\nok\n" and all(got[d] == t for d, t in rows if d in (1, 3, 5, 7, 9, 10))
+    want = brute_substring(rows, 8)
+    assert all(got[d] == (substring.remove(t, want[d]) if want[d] else t) for d, t in rows)
+
+
 def brute_chat(rows):
     safe = lambda s: (s or "").replace("<|", "< |")
     talks, out = {}, {}
