@@ -82,6 +82,14 @@ def norm_key_names(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", text.norm_key(F.substring("text", 1, 80)).alias("name_key"))
 
 
+@query(f"""SELECT doc_id, length(x) AS n, md5(x) AS digest FROM (SELECT doc_id, trim(regexp_replace(replace(regexp_replace(replace(strip_accents(lower(text)), 'ß', 'zzqzz'), '{_LEGAL}', ' ', 'g'), 'zzqzz', ' '),
+  '[^a-z0-9]+', ' ', 'g')) AS x FROM documents)""")
+def norm_key_texts(spark, sf_dir):
+    """norm_key over whole texts."""
+    x = text.norm_key(F.col("text"))
+    return t(spark, sf_dir, "documents").select("doc_id", x.alias("x")).select("doc_id", F.length("x").cast("long").alias("n"), F.md5("x").alias("digest"))
+
+
 def _html_sql() -> str:
     c = "html"
     for _ in range(3):
