@@ -255,6 +255,16 @@ def latest(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """Every row with its `place` in a total order: rows are dealt by range, and those of earlier ranges are counted."""
+    at = F.monotonically_increasing_id()
+    # kept, so that both uses see the same ranges
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(2**33 - 1)}).persist()
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return dealt.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_at") + 1).select(*rows.columns, "place")
+
+
 def newest_by_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key: the first in the given order (upsert semantics without a MERGE)."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")

@@ -406,6 +406,15 @@ def rebuild_union_order(spark, sf_dir):
     return serve.latest(o.unionByName(e, allowMissingColumns=True), 100, F.col("published_at"), F.col("origin") != "ov", F.col("id"))
 
 
+@query("""SELECT origin, id, published_at, row_number() OVER (ORDER BY coalesce(published_at, ''), origin <> 'ov', id) AS place FROM (SELECT 'ov' AS origin, CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d') AS published_at FROM orders
+  UNION ALL SELECT 'ncrd', CAST(event_id AS VARCHAR), strftime(ts, '%Y-%m-%d') FROM events)""")
+def rebuild_union_places(spark, sf_dir):
+    """The whole order of a rebuild: every notice with its place; those without a day come first."""
+    o = t(spark, sf_dir, "orders").select(F.lit("ov").alias("origin"), F.col("o_orderkey").cast("string").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published_at"))
+    e = t(spark, sf_dir, "events").select(F.lit("ncrd").alias("origin"), F.col("event_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("published_at"))
+    return serve.placed(o.unionByName(e), F.coalesce("published_at", F.lit("")).asc(), (F.col("origin") != "ov").asc(), F.col("id").asc())
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     return ingest.event_windows(t(spark, sf_dir, "events")).withColumn("total", F.round("total", 2))
