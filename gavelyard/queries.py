@@ -249,6 +249,17 @@ def list_filter_sort(spark, sf_dir):
     return _ranked(found, serve.list_order(f), X.PAGE_ROWS).select("id", "place")
 
 
+_LIST_SQL = ORACLES["list_filter_sort"].rsplit("ORDER BY place", 1)[0]
+
+
+@query(_LIST_SQL)
+def list_filter_places(spark, sf_dir):
+    """All rows of the filtered list, with their place."""
+    f = serve.Filters(q="  CUSTOMER nátion_1 ", types=("byt", "dom", "pozemok"), kinds=("dobrovolna", "exekucna"), minPrice=1000, maxPrice=300000, round="2+", sort="price_asc")
+    found = items(spark, sf_dir).where(serve.list_predicate(f, F.to_date(F.lit(_TODAY))))
+    return serve.placed(found, *serve.list_order(f)).select("id", "place")
+
+
 def _sort_query(sort: str, when: str, key: str) -> None:
     active = f"s IN ('pripravovana', 'odrocena') AND (d IS NULL OR d >= '{_TODAY}')"
     where = {"upcoming": active, "past": f"NOT ({active})", "all": "true"}[when]
@@ -260,8 +271,14 @@ def _sort_query(sort: str, when: str, key: str) -> None:
         found = items(spark, sf_dir).where(serve.list_predicate(f, F.to_date(F.lit(_TODAY))))
         return _ranked(found, serve.list_order(f), X.PAGE_ROWS).select("id", "place")
 
-    run.__name__ = name
+    def places(spark, sf_dir):
+        f = serve.Filters(sort=sort, when=when)
+        found = items(spark, sf_dir).where(serve.list_predicate(f, F.to_date(F.lit(_TODAY))))
+        return serve.placed(found, *serve.list_order(f)).select("id", "place")
+
+    run.__name__, places.__name__ = name, f"{name}_places"
     query(f"SELECT id, row_number() OVER (ORDER BY {key}, {tail}) AS place FROM ({ITEMS_SQL}) WHERE {where} ORDER BY place LIMIT 60")(run)
+    query(f"SELECT id, row_number() OVER (ORDER BY {key}, {tail}) AS place FROM ({ITEMS_SQL}) WHERE {where}")(places)
 
 
 _sort_query("date", "upcoming", "d ASC NULLS LAST")

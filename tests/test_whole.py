@@ -22,3 +22,13 @@ def test_every_notice_has_its_place(spark, tmp_path):
     got = {(r.origin, r.id): r.place for r in entry.queries()["rebuild_union_places"](spark, str(tmp_path)).collect()}
     rows = [(d.isoformat() if d else "", source != "ov", str(k), source) for source, told in (("ov", orders), ("ncrd", events)) for k, d in told]
     assert got == {(source, k): n for n, (_, _, k, source) in enumerate(sorted(rows), 1)}
+
+
+def test_sorts_and_filter_go_past_the_first_page(spark):
+    known, data = entry.queries(), "/root/testdata/sf0.001"
+    for name in ("sort_date_upcoming", "sort_date_past", "sort_price_asc_all", "sort_price_desc_all", "sort_new_all", "sort_discount_all"):
+        page = {r.place: r.id for r in known[name](spark, data).collect()}
+        every = {r.place: r.id for r in known[f"{name}_places"](spark, data).collect()}
+        assert sorted(every) == list(range(1, len(every) + 1)) and len(set(every.values())) == len(every) > len(page) == 60, name
+        assert page.items() <= every.items(), name
+    assert known["list_filter_sort"](spark, data).count() <= known["list_filter_places"](spark, data).count()
