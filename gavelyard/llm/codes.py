@@ -142,11 +142,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             doc_ids, ends, base = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(3)[i].as_py()
-            raw = Segment(batch.column(2)[i].as_py()).all().astype("<u4").tobytes()
+            segment = Segment(batch.column(2)[i].as_py())
+            raw = segment.all().astype("<u4").tobytes()
             starts = [0, *ends[:-1]]
             crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts, ends, strict=True)]
-            cols = [doc_ids, [base + s for s in starts], [e - s for s, e in zip(starts, ends, strict=True)], crc]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            middle = [segment.get((s + e) // 2) for s, e in zip(starts, ends, strict=True)]
+            cols = [doc_ids, [base + s for s in starts], [e - s for s, e in zip(starts, ends, strict=True)], crc, middle]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32", "middle_id"])
 
 
 def part_starts(segments: DataFrame) -> DataFrame:
@@ -157,7 +159,37 @@ def part_starts(segments: DataFrame) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files under `path`."""
+    """(doc_id, start, n_tokens, ids_crc32, middle_id) from the files under `path`; the id in a document's middle is read alone."""
     segments = spark.read.schema(_SEGMENT).parquet(path)
     placed = segments.join(F.broadcast(part_starts(segments.select("part", "before", "n_ids"))), "part")
-    return placed.select("doc_ids", "ends", "payload", (F.col("start") + F.col("before")).alias("base")).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("doc_ids", "ends", "payload", (F.col("start") + F.col("before")).alias("base")).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, middle_id long")
+
+
+def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc, nth, at, out = [], [], [], []
+        for i in range(batch.num_rows):
+            segment = Segment(batch.column(1)[i].as_py())
+            for x in batch.column(0)[i].as_py():
+                doc.append(x["doc_id"])
+                nth.append(x["nth"])
+                at.append(segment.get(x["at"]))
+        yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(nth, pa.int64()), pa.array(at, pa.int64())], ["doc_id", "nth", "id"])
+
+
+def ids_at(spark: SparkSession, path: str, wanted: DataFrame, most: int = 4096) -> DataFrame:
+    """(doc_id, nth, id) for the rows (doc_id, nth) of `wanted`: single ids from the files under `path`, nth from 0.
+
+    Only the narrow columns of all segments are read to find the places; then the segments that are asked for are read,
+    and in them each id alone. Places outside a document, unknown documents and null doc_ids give no row; of documents
+    that repeat a doc_id each one answers. At most `most` places of a segment go in one row.
+    """
+    segments = spark.read.schema(_SEGMENT).parquet(path)
+    each = segments.select("part", "before", F.posexplode("doc_ids").alias("k", "doc_id"), "ends")
+    first = F.when(F.col("k") > 0, F.element_at("ends", F.col("k"))).otherwise(F.lit(0))
+    each = each.select("part", "before", "doc_id", first.alias("first"), F.element_at("ends", F.col("k") + 1).alias("last"))
+    asked = wanted.select(F.col("doc_id").cast("long"), F.col("nth").cast("long")).where("nth >= 0").distinct().join(each, "doc_id").where("first + nth < last")
+    dealt = asked.withColumn("deal", F.floor((F.row_number().over(Window.partitionBy("part", "before").orderBy("doc_id", "nth")) - 1) / most))
+    packed = dealt.groupBy("part", "before", "deal").agg(F.collect_list(F.struct("doc_id", "nth", (F.col("first") + F.col("nth")).alias("at"))).alias("places"))
+    held = packed.join(segments.select("part", "before", "payload"), ["part", "before"])
+    return held.select("places", "payload").mapInArrow(_look_up, "doc_id long, nth long, id long")

@@ -19,4 +19,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = 20
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # few rows out of many files: dealt anew, so that all cores learn
+    return found.repartition(docs.sparkSession.sparkContext.defaultParallelism)

@@ -7,8 +7,12 @@ fingerprint, in hex, is
 
     root/section:paragraph.leaf.leaf,paragraph.leaf;section:...
 
-Equal roots prove equal texts, and a walk down the branches that differ finds the edited pieces. A null text
-is empty; the tree of an empty text has one section, paragraph and leaf.
+Equal roots prove equal texts. Where roots differ, `edits` walks down: sections that the other text has not, in these
+the paragraphs, in these the leaves.
+
+Defined cases: a null text is empty, and the tree of an empty text has one section, paragraph and leaf; rows that
+repeat a doc_id come in the order of their texts, a null doc_id is the smallest; very long texts are one row like
+others; columns besides doc_id and text are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,57 +60,87 @@ def leaves(print_: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, leaves_a: Column, leaves_b: Column) -> Column:
-    """1 where the roots are equal, else the share of distinct leaves that both have (Jaccard), to 6 places."""
+    """1 where the roots are equal, else the share of distinct leaves that both have (Jaccard), to 6 places.
+
+    Texts that differ only in how often or in what order leaves come stay below 1 by one leaf of all of theirs.
+    """
     same = F.substring_index(a, "/", 1) == F.substring_index(b, "/", 1)
     share = F.size(F.array_intersect(leaves_a, leaves_b)) / F.size(F.array_union(leaves_a, leaves_b))
-    return F.when(same, F.lit(1.0)).otherwise(F.round(share, 6))
+    below = 1 - 1 / (1.0 + F.size(leaves_a) + F.size(leaves_b))
+    return F.when(same, F.lit(1.0)).otherwise(F.round(F.least(share, below), 6))
 
 
-def edited_leaves(leaves_a: Column, leaves_b: Column) -> Column:
-    """Places (from 0) of the leaves of the first that the second has nowhere: where the edits are."""
-    places = F.transform(leaves_a, lambda leaf, i: F.when(~F.array_contains(leaves_b, leaf), i))
-    return F.filter(places, lambda i: i.isNotNull())
+def _numbered(parts: Column) -> Column:
+    return F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p")))
 
 
-def with_next(rows: DataFrame, value: Column, most_ranges: int = 64) -> DataFrame:
-    """`rows` (doc_id, text, ...) with `next`: `value` of the next row in descending doc_id; after the last, of the first.
+def edits(a: Column, b: Column) -> Column:
+    """Where fingerprint `a` differs from `b`: array of struct(section, paragraph, leaf), places from 0 in the text of `a`.
 
-    Rows are shuffled once, to ranges of doc_id whose borders come from a quantile sketch of that column, in
-    two levels of up to `most_ranges`, so a row is compared with few borders. Within a range the next row is a
-    window's lead; the ends of ranges meet in a join with one row per range. Rows that repeat a doc_id are
-    ordered by text, and a null doc_id is the smallest.
+    Branches whose digest the other tree has at that level are not entered. A paragraph whose leaves are all known is
+    one whose leaves were moved, repeated or lost: it is named with leaf -1. Insertions into `b` are found by `edits(b, a)`.
     """
-    count = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    wide = max(1, min(most_ranges, round((count / 2000) ** 0.5)))
-    shares = [i / (wide * wide) for i in range(1, wide * wide)] or [0.5]
-    borders = rows.agg(F.percentile_approx("doc_id", shares, 100_000).alias("q")).first()["q"] or [0] * len(shares)
-
-    def above(values: Column) -> Column:
-        return F.coalesce(F.size(F.filter(values, lambda v: v < F.col("doc_id"))), F.lit(0))
-
-    def longs(values: list) -> Column:
-        return F.array(*[F.lit(int(v)).cast("long") for v in values]) if values else F.array().cast("array<bigint>")
-
-    fine = F.array(*[longs(borders[i * wide : i * wide + wide - 1]) for i in range(wide)])
-    placed = rows.withColumn("_upper", above(longs(borders[wide - 1 :: wide][: wide - 1])))
-    placed = placed.withColumn("_range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("_upper") * wide + above(F.element_at(fine, F.col("_upper") + 1)))).drop("_upper")
+    body = lambda x: F.split(F.substring_index(x, "/", -1), ";")
+    paragraphs = lambda s: F.split(F.substring_index(s, ":", -1), ",")
+    leaf_digests = lambda p: F.split(F.substring(p, _HEX + 2, 1 << 30), r"\.")
+    mine, theirs = body(a), body(b)
+    changed = F.filter(_numbered(mine), lambda s: ~F.array_contains(theirs, s["p"]))
+    their_lines = F.flatten(F.transform(F.array_except(theirs, mine), paragraphs))
+    my_lines = F.flatten(F.transform(changed, lambda s: F.transform(_numbered(paragraphs(s["p"])), lambda q: F.struct(s["i"].alias("section"), q["i"].alias("paragraph"), q["p"].alias("p")))))
+    lines = F.filter(my_lines, lambda q: ~F.array_contains(their_lines, q["p"]))
+    their_leaves = F.flatten(F.transform(F.array_except(their_lines, F.transform(my_lines, lambda q: q["p"])), leaf_digests))
+
+    def of_line(q: Column) -> Column:
+        place = lambda leaf: F.struct(q["section"].alias("section"), q["paragraph"].alias("paragraph"), leaf.alias("leaf"))
+        new = F.filter(_numbered(leaf_digests(q["p"])), lambda x: ~F.array_contains(their_leaves, x["p"]))
+        return F.when(F.size(new) > 0, F.transform(new, lambda x: place(x["i"]))).otherwise(F.array(place(F.lit(-1))))
+
+    return F.flatten(F.transform(lines, of_line))
+
+
+def with_next(rows: DataFrame, made: dict[str, Column], wanted: list[str], wide: int | None = None, most: int = 64) -> DataFrame:
+    """`rows` (doc_id, text) with the columns `made` of a row, and `next`: those of `wanted` in the next row.
+
+    The order is descending doc_id; after the last comes the first. Rows are shuffled once, to ranges of doc_id whose
+    borders come from a quantile sketch of that column, in three levels of `wide` (which follows the number of rows, up
+    to `most`: 262,144 ranges), so a row is compared with few borders. Within a range the next row is a window's lead;
+    only the first row of each range is computed a second time, and these meet the ranges' ends in a join with one row
+    per range. Rows that repeat a doc_id are ordered by text, and a null doc_id is the smallest.
+    """
+    count = rows.count()
+    wide = wide or max(1, min(most, round((count / 2000) ** (1 / 3))))
+    ranges = wide**3
+    shares = [i / ranges for i in range(1, ranges)] or [0.5]
+    borders = rows.agg(F.percentile_approx("doc_id", shares, min(1_000_000, max(10_000, 100 * ranges))).alias("q")).first()["q"] or [0] * len(shares)
+    # one literal of text, cast to numbers: the plan stays small whatever the number of borders
+    table = F.split(F.lit(",".join(map(str, borders))), ",").cast("array<bigint>")
+
+    def above(step: int, base: Column) -> Column:
+        """How many of the `wide` - 1 borders at base + step, base + 2 * step, ... lie below a row."""
+        at = F.transform(F.sequence(F.lit(1), F.lit(wide - 1)), lambda i: F.element_at(table, (base + i * step).cast("int"))) if wide > 1 else F.array().cast("array<bigint>")
+        return F.coalesce(F.size(F.filter(at, lambda v: v < F.col("doc_id"))), F.lit(0))
+
+    placed = rows.withColumn("_range", F.lit(0))
+    for step in (wide * wide, wide, 1):
+        placed = placed.withColumn("_range", F.col("_range") + above(step, F.col("_range")) * step)
+    placed = placed.withColumn("_range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("_range")))
     order = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    led = placed.withColumn("_led", F.lead(F.struct(value.alias("v"))).over(order))
+    led = placed.withColumns(made).withColumn("_led", F.lead(F.struct(*wanted)).over(order))
     # One row per range, in a single task: its top doc_id and the range that comes before it.
     tops = placed.groupBy("_range").agg(F.max(F.coalesce("doc_id", F.lit(_LEAST))).alias("_top"))
     line = Window.partitionBy(F.lit(0)).orderBy(F.col("_range").desc())
     tops = tops.withColumn("_before", F.coalesce(F.lag("_range").over(line), F.min("_range").over(Window.partitionBy(F.lit(0)))))
     heads = placed.join(F.broadcast(tops), "_range").where(F.coalesce("doc_id", F.lit(_LEAST)) == F.col("_top"))
-    heads = heads.groupBy("_before").agg(F.min_by(F.struct(value.alias("v")), "text").alias("_head"))
+    heads = heads.groupBy("_before").agg(F.min("text").alias("text")).withColumns(made).select("_before", F.struct(*wanted).alias("_head"))
     ends = led.join(F.broadcast(heads), (led["_range"] == heads["_before"]) & led["_led"].isNull(), "left")
-    return ends.withColumn("next", F.coalesce("_led", "_head")["v"]).drop("_range", "_before", "_led", "_head")
+    return ends.withColumn("next", F.coalesce("_led", "_head")).drop("_range", "_before", "_led", "_head")
 
 
 def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, which ends in the start of the next document."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_s", sections(F.col("text")))
-    rows = rows.withColumn("fingerprint", seal(F.col("text"), F.col("_s"))).drop("_s")
-    rows = with_next(rows, F.struct("text", "fingerprint"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    made = {"fingerprint": seal(F.col("text"), sections(F.col("text")))}
+    rows = with_next(rows, made, ["text", "fingerprint"])
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("_cut", F.floor(F.col("n_chars") / 3).cast("int"))
     kept = F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("_cut"))
     rows = rows.withColumn("_edited", F.concat(kept, F.substring(F.col("next.text"), F.lit(1), F.col("_cut"))))
@@ -119,5 +153,5 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), a, b).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("_nextprint"), a, c).alias("near_next"),
-        edited_leaves(a, b).alias("edited_leaves"),
+        edits(F.col("fingerprint"), F.col("edited_fingerprint")).alias("edits"),
     )

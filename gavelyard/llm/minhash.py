@@ -8,8 +8,9 @@ Documents with one and the same set are one class (grouped by a 128-bit digest,
 shuffle), so thousands of copies cost one row. Classes are banded; within a bucket, members are first compared
 with one pivot and not with each other. Where that leaves a bucket in several components, the members outside the
 largest one are residents of bounded blocks, and the others stream past them: all pairs that are still apart are
-compared exactly, through an inverted index of the block, and only joining links are put out. So no link between
-bucket mates is lost, and no table of all pairs is made.
+compared exactly, through an inverted index of the block, and only joining links are put out. A family of many blocks
+goes another exact way: two linked sets share one of their rarest shingles (a prefix as long as the threshold needs),
+so members meet by these and not all with all. No link between bucket mates is lost, and no table of all pairs is made.
 
 Defined cases: null or empty text has an empty set and links with nothing; a text of fewer words than the
 shingle width has one shingle; rows that repeat a doc_id count as one document by its smallest component and
@@ -23,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .bytesets import blocks, mix, shingle_sets
 from .components import connected
@@ -136,6 +138,8 @@ def _stream(percent: int):
                 if not role:
                     held.append((cid, component, elements))
                     continue
+                if not held:
+                    continue
                 if index is None:
                     owner = np.repeat(np.arange(len(held)), [len(e) for _, _, e in held])
                     keys = np.concatenate([e for _, _, e in held])
@@ -157,7 +161,7 @@ def _stream(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, block: int = 1024, most_blocks: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents tied by a chain of links of `percent` Jaccard or more.
 
     With 24 bands of 4 slots a pair at 0.8 shares a bucket with probability 1 - 3e-6.
@@ -175,7 +179,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         links = classes.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
         labels = connected(links).withColumnRenamed("node", "cid")
     else:
-        labels = _link(docs, mates, width, percent, block)
+        labels = _link(docs, mates, width, percent, block, most_blocks)
     of_class = classes.join(labels, "cid", "left").select("d1", "d2", F.coalesce("component", "cid").alias("class_component"))
     named = signed.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
@@ -184,7 +188,46 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return known.union(out.where("doc_id is null")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _link(docs: DataFrame, mates: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+_SALTS = 16
+
+
+def _salted(members: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """`members` joined to `sizes` (one row per key), a large key's members spread over several tasks."""
+    salt = F.pmod(F.xxhash64("cid"), F.lit(_SALTS)).cast("int")
+    copies = sizes.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return members.withColumn("_spread", salt).join(copies, [key, "_spread"]).drop("_spread")
+
+
+def _roles(members: DataFrame, resident: Column) -> DataFrame:
+    """(pivot, salt, role, cid, component): residents in one block each (role 0), everybody once through all (role 1)."""
+    stay = members.where(resident).select("pivot", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int").alias("salt"), F.lit(0).alias("role"), "cid", "component")
+    return stay.union(members.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(1).alias("role"), "cid", "component"))
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            e = np.frombuffer(batch.column(3)[i].as_py(), dtype=np.int64)
+            same = lambda k, n=len(e), i=i: pa.array(np.full(n, batch.column(k)[i].as_py(), dtype=np.int64))
+            yield pa.record_batch([same(0), same(1), same(2), pa.array(np.full(len(e), len(e), dtype=np.int64)), pa.array(e)], ["pivot", "cid", "component", "n", "element"])
+
+
+def _rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(pivot, cid, component): the family's members by the rare shingles at which linked ones must meet; `pivot` names both.
+
+    With shingles ordered by how many members have them, sets of n and m elements that share `percent` of their union
+    have one in common among the first n - ceil(percent * n / 100) + 1 (and m likewise). Those of one member meet nobody.
+    """
+    held = members.join(sets, "cid").select("pivot", "cid", "component", "elements")
+    each = keep(held.mapInArrow(_elements, "pivot long, cid long, component long, n long, element long"), "elements")
+    shared = each.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("held_by"))
+    place = F.row_number().over(Window.partitionBy("pivot", "cid").orderBy("held_by", "element"))
+    ranked = each.join(shared, ["pivot", "element"]).withColumn("place", place)
+    first = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1) & (F.col("held_by") > 1))
+    return first.select(F.xxhash64("pivot", "element").alias("pivot"), "cid", "component").distinct()
+
+
+def _link(docs: DataFrame, mates: DataFrame, width: int, percent: int, block: int, most_blocks: int) -> DataFrame:
     wanted = mates.select("cid").distinct()
     # Rows that repeat a doc_id may hold other texts: each set of such a document is compared.
     texts = docs.select(F.col("doc_id").alias("cid"), "text").join(wanted, "cid", "left_semi")
@@ -211,11 +254,16 @@ def _link(docs: DataFrame, mates: DataFrame, width: int, percent: int, block: in
         return labels
     sizes = family.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("k"))
     whole = sizes.groupBy("pivot").agg(F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("top"))
-    whole = whole.select("pivot", F.col("top.component").alias("largest"), F.ceil((F.col("all") - F.col("top.k")) / block).cast("int").alias("blocks")).where("blocks > 0")
-    members = family.join(whole, "pivot")
-    resident = members.where("component != largest").select("pivot", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("salt"), F.lit(0).alias("role"), "cid", "component")
-    passing = members.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(1).alias("role"), "cid", "component")
-    rows = resident.union(passing).join(sets, "cid").select("pivot", "salt", "role", "cid", "component", "elements")
+    whole = keep(whole.select("pivot", F.col("top.component").alias("largest"), F.ceil((F.col("all") - F.col("top.k")) / block).cast("int").alias("blocks")).where("blocks > 0"), "sizes")
+    few = _salted(family, whole.where(F.col("blocks") <= most_blocks), "pivot")
+    rows = _roles(few, F.col("component") != F.col("largest"))
+    many = whole.where(F.col("blocks") > most_blocks)
+    if not many.isEmpty():
+        rare = keep(_rare_shingles(_salted(family, many, "pivot").select("pivot", "cid", "component"), sets, percent), "rare-shingles")
+        meeting = rare.groupBy("pivot").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        meeting = meeting.select("pivot", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+        rows = rows.union(_roles(_salted(rare, meeting, "pivot"), F.lit(True)))
+    rows = rows.join(sets, "cid").select("pivot", "salt", "role", "cid", "component", "elements")
     dealt = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
     more = keep(dealt.mapInArrow(_stream(percent), "a long, b long"), "more-links")
     if more.isEmpty():

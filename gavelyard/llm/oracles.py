@@ -21,20 +21,23 @@ covered AS (SELECT rid, count(DISTINCT i + o) AS n FROM again, range(0, 5) t(o)
 b AS (SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN ws]), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines, coalesce(covered.n, 0) AS n_repeat_words FROM w LEFT JOIN covered ON covered.rid = w.rid),
 m AS (SELECT *, n_symbols / greatest(n_words, 1) AS symbols, n_dup_lines / greatest(n_lines, 1) AS dup_lines, word_chars / greatest(n_words, 1) AS word_length FROM b),
-v AS (SELECT lang, source, unnest(['symbols', 'dup_lines', 'word_length']) AS measure, unnest([symbols, dup_lines, word_length]) AS value FROM m WHERE n_words > 0),
+v AS (SELECT lang, source, unnest(['symbols', 'dup_lines', 'word_length', 'n_words', 'n_lines']) AS measure, unnest([symbols, dup_lines, word_length, CAST(n_words AS DOUBLE), CAST(n_lines AS DOUBLE)]) AS value FROM m WHERE n_words > 0),
 k AS (SELECT lang, source, measure, CAST(CASE WHEN value <= 0 THEN -1073741824 ELSE ceil(ln(value) / ln(1.02)) END AS INTEGER) AS bucket, count(*) AS n FROM v GROUP BY ALL),
 l AS (SELECT 'source' AS level, lang, source, measure, bucket, n FROM k UNION ALL SELECT 'lang', lang, '', measure, bucket, sum(n) FROM k GROUP BY ALL UNION ALL SELECT 'all', '', '', measure, bucket, sum(n) FROM k GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total,
   CASE WHEN bucket = -1073741824 THEN 0.0 ELSE 2 * pow(1.02, bucket) / 2.02 END AS mid FROM l),
-q AS (SELECT level, lang, source, measure, min(mid) FILTER (WHERE upto >= 0.25 * total) AS lo, min(mid) FILTER (WHERE upto >= 0.75 * total) AS hi, max(total) AS rows FROM r GROUP BY ALL),
-f AS (SELECT level, lang, source, measure, rows, lo - greatest(3 * (hi - lo), slack) AS low, hi + greatest(3 * (hi - lo), slack) AS high FROM q JOIN (VALUES ('symbols', 0.15), ('dup_lines', 0.3), ('word_length', 3.0)) z(name, slack) ON name = measure),
-p AS (SELECT s.lang, s.source, s.measure, CASE WHEN s.rows >= 200 THEN s.low WHEN g.rows >= 200 THEN g.low ELSE a.low END AS low, CASE WHEN s.rows >= 200 THEN s.high WHEN g.rows >= 200 THEN g.high ELSE a.high END AS high
-  FROM f s JOIN f g ON g.level = 'lang' AND g.lang = s.lang AND g.measure = s.measure JOIN f a ON a.level = 'all' AND a.measure = s.measure WHERE s.level = 'source'),
-t AS (SELECT lang, source, max(high) FILTER (WHERE measure = 'symbols') AS symbols_high, max(high) FILTER (WHERE measure = 'dup_lines') AS dup_lines_high, max(low) FILTER (WHERE measure = 'word_length') AS word_length_low, max(high) FILTER (WHERE measure = 'word_length') AS word_length_high FROM p GROUP BY ALL)
+u AS (SELECT level, lang, source, measure, max(total) AS rows, min(mid) FILTER (WHERE upto >= 0.25 * total) AS lo, min(mid) FILTER (WHERE upto >= 0.5 * total) AS md, min(mid) FILTER (WHERE upto >= 0.75 * total) AS hi FROM r GROUP BY ALL),
+q AS (SELECT level, lang, source, measure, rows, unnest(['lo', 'mid', 'hi']) AS side, unnest([lo, md, hi]) AS value FROM u),
+p AS (SELECT s.lang, s.source, s.measure || '_' || s.side AS name, (s.rows * s.value + 100.0 * ((g.rows * g.value + 100.0 * a.value) / (g.rows + 100.0))) / (s.rows + 100.0) AS value
+  FROM q s JOIN q g ON g.level = 'lang' AND g.lang = s.lang AND g.measure = s.measure AND g.side = s.side JOIN q a ON a.level = 'all' AND a.measure = s.measure AND a.side = s.side WHERE s.level = 'source'),
+t AS (PIVOT p ON name IN ('symbols_lo', 'symbols_hi', 'dup_lines_lo', 'dup_lines_hi', 'word_length_lo', 'word_length_hi', 'n_words_mid', 'n_lines_mid') USING max(value) GROUP BY lang, source),
+z AS (SELECT m.*, symbols_hi + 3 * greatest(symbols_hi - symbols_lo, 1 / greatest(n_words_mid, 1.0)) * sqrt(greatest(n_words_mid / greatest(n_words, 1), 1.0)) AS symbols_high,
+  dup_lines_hi + 3 * greatest(dup_lines_hi - dup_lines_lo, 1 / greatest(n_lines_mid, 1.0)) * sqrt(greatest(n_lines_mid / greatest(n_lines, 1), 1.0)) AS dup_lines_high,
+  3 * greatest(word_length_hi - word_length_lo, 1 / greatest(n_words_mid, 1.0)) * sqrt(greatest(n_words_mid / greatest(n_words, 1), 1.0)) AS far, word_length_lo, word_length_hi FROM m LEFT JOIN t ON t.lang = m.lang AND t.source = m.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(symbols <= symbols_high AND dup_lines <= dup_lines_high AND word_length BETWEEN word_length_low AND word_length_high, true) AS kept,
-  round(symbols_high, 6) AS symbols_high, round(dup_lines_high, 6) AS dup_lines_high, round(word_length_low, 6) AS word_length_low, round(word_length_high, 6) AS word_length_high
-FROM m LEFT JOIN t ON t.lang = m.lang AND t.source = m.source"""
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(symbols <= symbols_high AND dup_lines <= dup_lines_high AND word_length BETWEEN word_length_lo - far AND word_length_hi + far, true) AS kept,
+  round(symbols_high, 6) AS symbols_high, round(dup_lines_high, 6) AS dup_lines_high, round(word_length_lo - far, 6) AS word_length_low, round(word_length_hi + far, 6) AS word_length_high
+FROM z"""
 
 OP10 = r"""
 WITH t AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),

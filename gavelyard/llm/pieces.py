@@ -6,19 +6,26 @@ and each is relaxed against the best way to the place where it starts:
 - unigram models: the largest sum of scores wins (Viterbi);
 - BPE models: the sum of scores does not give that model's pieces, so a piece is taken if it may stand behind
   the last piece of the encoding that ends where it starts, that is if merging the two pieces' characters gives
-  back just these two. Exactly one piece passes, and the result is the model's own encoding.
+  back just these two (a step of score 0, all others of minus infinity). Exactly one piece passes, and the result is the
+  model's own encoding. A character of no piece takes part in no merge, so texts are divided at such characters first.
 
 Where no piece ever has a visible character in front of a space mark, stretches begin at space marks (and end at
 line ends, if no piece has one) and are remembered, so repeated words cost one look-up. A worker process keeps its
 model and this memory, which is bounded, for later tasks.
+
+Defined cases: null and empty texts have no ids; rows that repeat give the same ids; a null doc_id stays null; very long
+texts, with or without spaces, take time in proportion to their length (n log n where pieces must be merged by
+definition); columns besides doc_id and text are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -98,6 +105,8 @@ class Model:
         self.of_byte = {i: b for b, i in self.bytes.items()}
         self.hidden = {i for i, t in enumerate(types) if t == CONTROL}
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, types, strict=True)) if t == NORMAL}
+        #: Characters of some piece: a merge of characters can hold no others.
+        self.letters = frozenset(c for p in self.ids for c in p)
         self.unknown_score = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
@@ -115,17 +124,38 @@ class Model:
         self.spelled = [bytes([self.of_byte[i]]) if i in self.of_byte else " ⁇ ".encode() if i == self.unknown else b for i, b in enumerate(spelled)]
 
     def merged(self, text: str) -> list[str]:
-        """BPE by its definition: of all neighbours whose union is a piece the best scored, leftmost first, is merged."""
-        parts = list(text)
-        while True:
-            best, where = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, where = self.scores[i], k
-            if best is None:
-                return parts
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
+        """BPE by its definition: of all neighbours whose union is a piece the best scored, leftmost first, is merged.
+
+        Candidates wait in a heap; one whose neighbours have changed since is passed over.
+        """
+        n = len(text)
+        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))  # of the part that starts at k
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and after[k] < n:
+                i = self.ids.get(text[k : end[after[k]]])
+                if i is not None:
+                    heapq.heappush(heap, (-self.scores[i], k, end[after[k]]))
+
+        for k in range(n - 1):
+            offer(k)
+        while heap:
+            _, k, stop = heapq.heappop(heap)
+            if before[k] == -2 or after[k] >= n or end[after[k]] != stop:
+                continue
+            gone = after[k]
+            end[k], after[k] = stop, after[gone]
+            before[gone] = -2
+            if after[k] < n:
+                before[after[k]] = k
+            offer(before[k])
+            offer(k)
+        out, k = [], 0
+        while k < n:
+            out.append(text[k : end[k]])
+            k = after[k]
+        return out
 
     def _may_follow(self, a: int, b: int) -> bool:
         """Whether merging the characters of pieces a and b gives back just these two."""
@@ -177,9 +207,16 @@ class Model:
     def split(self, stretch: str) -> list[tuple[str, int | None]]:
         """(text, id) of the pieces of a stretch; a character of no piece has id None."""
         if self.kind == BPE:
-            ids = self._split_bpe(stretch)
-            # characters of no piece, or pieces that merging never makes: merge by definition
-            return [(p, self.ids.get(p)) for p in self.merged(stretch)] if ids is None else [(self.pieces[i], i) for i in ids]
+            out = []
+            for known, run in groupby(stretch, self.letters.__contains__):
+                if not known:
+                    out += [(c, None) for c in run]
+                    continue
+                part = "".join(run)
+                ids = self._split_bpe(part)
+                # where merging never makes a piece of the chain, it is done by definition
+                out += [(p, self.ids.get(p)) for p in self.merged(part)] if ids is None else [(self.pieces[i], i) for i in ids]
+            return out
         n = len(stretch)
         best: list[float | None] = [0.0] + [None] * n
         back: list[tuple[int, int | None]] = [(0, None)] * (n + 1)

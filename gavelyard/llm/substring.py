@@ -12,8 +12,9 @@ share is a join with one row on its side, which adaptive execution splits. Remov
 point offsets.
 
 Defined cases: a null text stays null and an empty one empty; a line or sentence repeated inside one document
-counts like one repeated across documents; rows that repeat a doc_id are told apart by a row number; a null doc_id
-ranks last; an empty table gives no rows.
+counts like one repeated across documents; rows that repeat a doc_id are told apart in the order of their texts, so
+which one stays does not depend on partitions; a null doc_id ranks last; columns of any name stay as they are, but an
+input column named `removed` gives way to the result's; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import keep
+from .storage import free_name, keep, numbered
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)|(?<=[。！？])\s*(?=[^\s。！？」』”’）])")
 LINE_CHARS, SENTENCE_CHARS, RUN_CHARS = 16, 40, 100
-_LAST = 2**63 - 1
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -153,28 +153,19 @@ def _cut(text_at: int, spans_at: int, width: int):
 
 def drop_repeated_units(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """Every row of `docs`, `text` without repeated units, and `removed`: array of (start, end) in the old text."""
+    docs = docs.drop("removed")
     names = docs.columns
-    ids = docs.select("doc_id", "text")
-    # A row is named by its doc_id; only where doc_ids repeat (or are null) does it need more.
-    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count()
-    rows = docs
-    if twice:
-        rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        ids = rows.select("doc_id", "text", "_row")
-    else:
-        rows, ids = docs.withColumn("_row", F.col("doc_id")), ids.withColumn("_row", F.col("doc_id"))
+    rows, name = numbered(docs)
     # span: start in the upper half, end in the lower one. again: a row's own repeats, which go in any case, so only the
     # first occurrences of each row are grouped, by the row alone; narrow rows keep the two shuffles small.
-    found = keep(ids.select("_row", "text").mapInArrow(_emit(min_words), "row long, span long, again boolean, d1 long, d2 long"), "units")
-    firsts, place = found.where("not again"), F.col("row")
-    if twice:
-        firsts = firsts.join(ids.select(F.col("_row").alias("row"), F.coalesce("doc_id", F.lit(_LAST)).alias("rank")), "row")
-        place = F.struct("rank", "row")
-    groups = firsts.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("d1", "d2", "first")
-    later = firsts.join(groups, ["d1", "d2"]).where(place != F.col("first")).select("row", "span")
+    found = keep(rows.select(name, "text").mapInArrow(_emit(min_words), "row long, span long, again boolean, d1 long, d2 long"), "units")
+    firsts = found.where("not again")
+    groups = firsts.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).where("n > 1").select("d1", "d2", "first")
+    later = firsts.join(groups, ["d1", "d2"]).where("row != first").select("row", "span")
     gone = later.unionByName(found.where("again").select("row", "span"))
-    spans = gone.groupBy("row").agg(F.collect_set("span").alias("_spans")).withColumnRenamed("row", "_row")
-    joined = rows.join(spans, "_row", "left").select(*[F.col(c) for c in names], "_spans")
+    gaps = free_name(rows, "spans")
+    spans = gone.groupBy(F.col("row").alias(name)).agg(F.collect_set("span").alias(gaps))
+    joined = rows.join(spans, name, "left").select(*[F.col(f"`{c}`") for c in names], gaps)
     out = schema_with(docs, "removed array<struct<start:int,end:int>>")
     return joined.mapInArrow(_cut(names.index("text"), len(names), len(names)), out)
 

@@ -1,4 +1,6 @@
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -43,6 +45,13 @@ def test_files_read_back(spark, tmp_path):
         want.append((d if d is not None else -1, start, n, crc(ids[d, x])))
         start += n
     assert got == sorted(want)
+    for r in codes.read_ids(spark, path).collect():
+        assert r.middle_id in {ids[d, x][len(ids[d, x]) // 2] for d, x in ROWS if d == r.doc_id}
+    # single ids, wherever they lie
+    asked = [(d, k) for d in (1, 2, 3, 5, 7, 9, 77, None) for k in (-1, 0, 1, 2, 899, 2700, 5000)]
+    seen = codes.ids_at(spark, path, spark.createDataFrame(asked, "doc_id long, nth long"), most=3).collect()
+    each = [(d, k, ids[d, x][k]) for d, x in ROWS if d is not None for k in {k for _, k in asked} if 0 <= k < len(ids[d, x])]
+    assert sorted((r.doc_id, r.nth, r.id) for r in seen) == sorted(each)
     codes.write_ids(spark.createDataFrame([], "doc_id long, text string"), PATH, str(tmp_path / "none"))
     assert codes.read_ids(spark, str(tmp_path / "none")).count() == 0
 
@@ -63,6 +72,37 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
 
+def brute_bins(lengths, capacity):
+    """Fill of each bin: pieces longest first, each into the open bin after which the squared counts sum least."""
+    fills = []
+    for n in sorted(lengths, reverse=True):
+        fitting = {capacity - f for f in fills if capacity - f >= n}
+        if not fitting:
+            fills.append(n)
+            continue
+
+        def total(gap):
+            left = [capacity - f for f in fills]
+            left.remove(gap)
+            counts = Counter(x for x in [*left, gap - n] if x)
+            return sum(c * c for c in counts.values())
+
+        best = min(fitting, key=lambda g: (total(g), g))
+        fills[fills.index(capacity - best)] += n
+    return sorted(fills)
+
+
+def test_packing_equals_brute_force(spark):
+    """A whole table through the operator: the bins are as full as one placed by hand."""
+    rng = random.Random(12)
+    df = spark.createDataFrame([(k, "a " * rng.choice((3, 9, 20, 40, 55, 61))) for k in range(250)], "doc_id long, text string")
+    rows = packing.pack(df, PATH, capacity=64).collect()
+    fills = Counter()
+    for r in rows:
+        fills[r.sequence_id] += r.length
+    assert sorted(fills.values()) == brute_bins([r.length for r in rows], 64)
+
+
 def test_cut_and_sum_of_squares():
     assert packing.cut(1, 10) == [(0, 1)] and packing.cut(10, 10) == [(0, 10)] and packing.cut(25, 10) == [(0, 5), (5, 10), (15, 10)] and packing.cut(20, 10) == [(0, 10), (10, 10)]
     lengths = np.sort(np.random.default_rng(2).integers(1, 100, 4000))[::-1]

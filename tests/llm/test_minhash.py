@@ -57,6 +57,7 @@ def check(spark, rows, width, **more):
 def test_equals_brute_force(spark):
     check(spark, corpus(500, 1), 2)
     check(spark, corpus(300, 2), 5, block=7)
+    check(spark, corpus(300, 2), 2, block=3, most_blocks=1)  # larger families meet by their rare shingles
 
 
 def test_edges(spark):
@@ -64,6 +65,14 @@ def test_edges(spark):
     check(spark, rows, 2)
 
 
+def test_words_of_one_polynomial_differ(spark):
+    """Two words that a polynomial modulo 2^64 can't tell apart, whatever its base, and long words that differ at one place."""
+    from .test_texts import thue_morse
+
+    a, b = thue_morse()
+    check(spark, [(1, a), (2, b), (3, a), (4, f"{a} {a}"), (5, f"{a} {b}"), (6, "z" * 3000), (7, "z" * 2999 + "y"), (8, "z" * 96), (9, "z" * 97)], 2)
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "a b c d"), (3, None)], SCHEMA).selectExpr("*", "text as `Text2`", "1 as bucket", "2 as component")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, width=2).collect())

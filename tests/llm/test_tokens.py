@@ -1,10 +1,13 @@
 import random
+import time
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 
+from gavelyard.llm import pieces
 from gavelyard.llm.pieces import BPE, UNIGRAM, Model
 from gavelyard.llm.tokens import Encoder
 
@@ -55,3 +58,44 @@ def test_viterbi_scores_as_the_library_on_the_same_pieces_as_unigram(model_bytes
     got, want = [ids(model.encode(t)) for t in given], library.encode(given)
     assert all(total(x) >= total(y) for x, y in zip(got, want, strict=True)) and sum(x == y for x, y in zip(got, want, strict=True)) > 0.99 * len(given)
     assert [model.decode(model.encode(t)) for t in given] == given
+
+
+def test_pieces_in_spark(spark, model_bytes):
+    """Whole tables through the operators: null, empty, repeated and very long texts, null ids, clashing names."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(7)
+    spaceless = "".join(rng.choice("abcdeinortész") for _ in range(120_000))
+    strange = "".join(rng.choice("ab🜁🜂") for _ in range(60_000))
+    rows = [(1, None), (2, ""), (3, "a plain text"), (3, "a plain text"), (None, "no id"), (4, "word " * 100_000), (5, spaceless), (6, strange), (7, "▁ and \n\n two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as n_pieces", "3 as decoded")
+    began = time.time()
+    coded = pieces.encode_pieces(df, PIECES).collect()
+    assert time.time() - began < 60
+    key = lambda d, t: (d is None, d or 0, t)
+    want = sorted(((d, library.encode(t or "")) for d, t in rows), key=lambda r: key(r[0], str(r[1])[:50]))
+    assert sorted(((r.doc_id, r.ids) for r in coded), key=lambda r: key(r[0], str(r[1])[:50])) == want
+    back = pieces.decode_pieces(pieces.encode_pieces(df, PIECES), PIECES).collect()
+    assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(d), (t or "").replace("▁", " ")) for d, t in rows)
+    digests = {(r.doc_id, r.n_pieces, r.ids_crc32) for r in pieces.piece_digests(df, PIECES).where("decoded").collect()}
+    assert digests == {(d, len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for d, x in want}
+    none = df.limit(0)
+    assert pieces.encode_pieces(none, PIECES).count() == pieces.piece_digests(none, PIECES).count() == pieces.decode_pieces(pieces.encode_pieces(none, PIECES), PIECES).count() == 0
+
+
+def test_merging_by_definition(model_bytes):
+    """The heap of candidates against the definition, one merge at a time over the whole text."""
+    model = Model(model_bytes)
+
+    def plainly(text):
+        parts = list(text)
+        while True:
+            found = [(-model.scores[i], k) for k in range(len(parts) - 1) if (i := model.ids.get(parts[k] + parts[k + 1])) is not None]
+            if not found:
+                return parts
+            k = min(found)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    rng = random.Random(1)
+    for n in [*range(30), *[60] * 60]:
+        text = "".join(rng.choice("▁abteinor中🜁") for _ in range(n))
+        assert model.merged(text) == plainly(text)
