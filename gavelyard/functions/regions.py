@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import fixed as X
 from .text import fold_case, lookup
 
-DISTRICTS = {name: region for region, names in X.REGIONS.items() for name in names.split(", ")}
+DISTRICTS = {name: region for region, names in X.REGIONS.items() for name in names}
 ROMAN = {"1": "i", "2": "ii", "3": "iii", "4": "iv", "5": "v"}
 
 

@@ -36,8 +36,8 @@ def executor_key(text: str | None) -> str:
 
 
 def content_hash(notice: dict) -> str:
-    """24 hex digits over the sorted content, without the time of fetching."""
-    bare = {k: v for k, v in notice.items() if k != "fetched_at"}
+    """24 hex digits over the sorted content, without the times of fetching, of the version and of the first sight."""
+    bare = {k: v for k, v in notice.items() if k not in ("fetched_at", "versioned_at", "first_seen")}
     return hashlib.sha256(json.dumps(bare, sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()[:24]
 
 
@@ -75,30 +75,74 @@ def richness(properties: list[dict]) -> int:
     return sum(bool(p.get(k)) for p in properties for k in ("obec", "ku", "okres", "kraj")) + sum(len(p.get(k) or ()) for p in properties for k in ("lv", "parcels"))
 
 
+def located_as_before(old: list[dict], new: list[dict]) -> list[dict]:
+    """The new properties, with the points of old ones of the same place and folios."""
+    key = lambda p: (norm_key(p.get("ku") or p.get("obec")), tuple(sorted(p.get("lv") or ())))
+    points = {key(p): {k: p.get(k) for k in ("lat", "lng", "geo_source")} for p in old if p.get("lat") is not None}
+    return [dict(p) | points.get(key(p), {}) for p in new]
+
+
+def at_odds(a: str | None, b: str | None) -> bool:
+    """Both known, and different."""
+    return bool(a and b and a != b)
+
+
+@dataclass(frozen=True)
+class Facts:
+    """What matching looks at, of a notice or of an auction as it stands."""
+
+    day: str
+    time: str
+    kind: str
+    number: str
+    estate: frozenset[tuple[str, str]]
+    words: frozenset[str]
+
+    @classmethod
+    def of(cls, x: dict, kind: str | None = None, *places: str | None) -> Facts:
+        at, properties = x.get("auction_at") or "", x.get("properties") or []
+        return cls(at[:10], at[11:16], kind or x.get("kind") or "", norm_key(x.get("auction_number")), frozenset(folios(properties)), frozenset(place_words(x.get("venue"), *places)))
+
+
 def compatible(auction: dict, notice: dict) -> bool:
-    """False for two times on one day under two numbers."""
-    a, b = auction.get("auction_at") or "", notice.get("auction_at") or ""
-    if not a or a[:10] != b[:10] or min(len(a), len(b)) <= 10 or a[11:16] == b[11:16]:
-        return True
-    numbers = norm_key(auction.get("auction_number")), norm_key(notice.get("auction_number"))
-    return not all(numbers) or numbers[0] == numbers[1]
+    """Whether both can be one auction: not with two times on one day under two numbers."""
+    a, b = Facts.of(auction), Facts.of(notice)
+    return not (a.day and a.day == b.day and at_odds(a.time, b.time) and at_odds(a.number, b.number))
+
+
+def names_agree(a: str | None, b: str | None, executors: bool) -> bool:
+    """Executors by their words in any order; companies by equal names, or by a longer name that contains the other."""
+    if executors:
+        return executor_key(a) == executor_key(b)
+    short, long = sorted((norm_key(a), norm_key(b)), key=len)
+    return bool(short) and (short == long or len(short) > 6 and short in long)
 
 
 def same_auctioneer(auction: dict, notice: dict) -> bool:
-    """Company numbers where both have one, else names: exact or contained; executors in any word order."""
-    ico, name = notice.get("auctioneer_ico"), notice.get("auctioneer_name")
-    if ico:
-        # a number is compared with a number; an auction without one is still a candidate by its name
-        if auction.get("auctioneer_ico"):
-            return ico == auction["auctioneer_ico"]
-        if auction.get("auctioneer_name") is None:
-            return False
-    elif not norm_key(name) or auction.get("auctioneer_name") is None:
+    """Two company numbers decide; where one is missing, the names do."""
+    numbers = [x.get("auctioneer_ico") for x in (auction, notice)]
+    if all(numbers):
+        return numbers[0] == numbers[1]
+    if auction.get("auctioneer_name") is None or not (numbers[1] or norm_key(notice.get("auctioneer_name"))):
         return False
-    if "exekucna" in (auction.get("kind"), notice.get("kind")):
-        return executor_key(auction.get("auctioneer_name")) == executor_key(name)
-    a, b = norm_key(auction.get("auctioneer_name")), norm_key(name)
-    return bool(a and b) and (a == b or min(len(a), len(b)) > 6 and (a in b or b in a))
+    return names_agree(auction["auctioneer_name"], notice.get("auctioneer_name"), "exekucna" in (auction.get("kind"), notice.get("kind")))
+
+
+def _weeks_away(a: Facts, n: Facts) -> bool:
+    """Unknown days are no obstacle."""
+    if not (a.day and n.day):
+        return True
+    low, high = X.ROUND_GAP_DAYS
+    return low <= abs((date.fromisoformat(a.day) - date.fromisoformat(n.day)).days) <= high
+
+
+#: An auction that another source told of: what must hold for (auction, notice), and what narrows several that fit.
+OTHER_SOURCE = (
+    (lambda a, n: bool(n.day) and a.day == n.day, lambda a, n: a.kind == n.kind, lambda a, n: not (a.estate and n.estate and a.estate.isdisjoint(n.estate))),
+    (lambda a, n: bool(n.time) and a.time == n.time, lambda a, n: len(a.words & n.words)),
+)
+#: An earlier or later round of the same estate.
+OTHER_ROUND = (lambda a, n: a.kind == n.kind, _weeks_away, lambda a, n: not a.estate.isdisjoint(n.estate))
 
 
 def main_type(types: list[str]) -> str | None:
@@ -107,19 +151,24 @@ def main_type(types: list[str]) -> str | None:
 
 @dataclass
 class Ledger:
-    """Auctions and notices of one block; `now` stands for the time of the run."""
+    """Auctions and notices of one block; `now` stands for the time of the run.
+
+    A notice that was taken in before brings its `first_seen`; an auction has the earliest of its notices', and counts as
+    updated when the latest notice that moved something was first seen. So a block that is merged anew keeps its times.
+    """
 
     now: str
     auctions: dict[str, dict] = field(default_factory=dict)  # by group key, in order of creation
     aliases: dict[str, str] = field(default_factory=dict)
     notices: dict[tuple[str, str], dict] = field(default_factory=dict)
-    by_number: dict[str | None, dict[str, int]] = field(default_factory=dict)  # company number: its group keys and their order
+    index: dict[tuple, set[str]] = field(default_factory=dict)  # a day, or a folio of an estate: group keys
+    spots: dict[str, list[tuple]] = field(default_factory=dict)  # by group key, where it is in the index
 
     # -- one notice ------------------------------------------------------------------------------------------
     def ingest(self, notice: dict) -> str:
         digest = content_hash(notice)
         name = notice["source"], notice["source_id"]
-        known = self.notices.get(name)
+        known, seen = self.notices.get(name), notice.get("first_seen") or self.now
         if known and known["content_hash"] == digest:
             known["last_seen"] = self.auctions[known["group_key"]]["last_seen"] = self.now
             return "same"
@@ -127,22 +176,19 @@ class Ledger:
             home = known["group_key"]
             created = False
         else:
-            home, created = self._home(notice)
+            home, created = self._home(notice, seen)
         auction = self.auctions[home]
         key = group_key(notice)
         if not created and key != home:
             self.aliases[key] = home
-        before = auction["auctioneer_ico"]
-        self._apply(auction, notice, created, forced=known is not None)
-        if created or auction["auctioneer_ico"] != before:
-            place = self.by_number.get(before, {}).pop(home, len(self.auctions))
-            self.by_number.setdefault(auction["auctioneer_ico"], {})[home] = place
+        self._apply(auction, notice, created, known is not None, seen)
+        self._enter(auction)
         # a changed notice keeps the publication facts of its first version
-        facts = known or {"published_at": notice.get("published_at"), "first_seen": self.now, "case_key": None}
+        facts = known or {"published_at": notice.get("published_at"), "first_seen": seen, "case_key": None}
         self.notices[name] = facts | {"content_hash": digest, "group_key": home, "last_seen": self.now, "case_key": notice.get("case_key"), "source": notice["source"]}
         return "changed" if known else "new"
 
-    def _home(self, notice: dict) -> tuple[str, bool]:
+    def _home(self, notice: dict, seen: str) -> tuple[str, bool]:
         """Group key of the notice's auction, and whether it was created for it."""
         key = group_key(notice)
         auction = self.auctions.get(key)
@@ -159,59 +205,49 @@ class Ledger:
         self.auctions[key] = {
             **dict.fromkeys((*X.MERGED, "property_type", "kraj", "okres", "obec", "ku", "lat", "lng", "geo_precision", "last_notice_at")),
             "group_key": key, "status": "pripravovana", "kind": notice.get("kind") or "dobrovolna", "sources": [], "properties": [], "history": [],
-            "first_seen": self.now, "last_seen": self.now, "updated_at": self.now,
+            "first_seen": seen, "last_seen": self.now, "updated_at": seen, "place": len(self.auctions),
         }
         return key, True
 
     # -- matching --------------------------------------------------------------------------------------------
+    def _enter(self, auction: dict) -> None:
+        """Put an auction into the index under its day and its folios."""
+        key, facts = auction["group_key"], Facts.of(auction)
+        for spot in self.spots.get(key, ()):
+            self.index[spot].discard(key)
+        self.spots[key] = [("day", facts.day)] * bool(facts.day) + [("folio", f) for f in facts.estate]
+        for spot in self.spots[key]:
+            self.index.setdefault(spot, set()).add(key)
+
     def _match(self, notice: dict) -> str | None:
+        """An auction must share the day or a folio; only such are looked at, in order of creation."""
         if not (notice.get("auctioneer_ico") or norm_key(notice.get("auctioneer_name"))):
             return None
-        number = notice.get("auctioneer_ico")
-        told = (self.by_number.get(n, {}) for n in ((number, None) if number else self.by_number))
-        near = sorted((place, key) for keys in told for key, place in keys.items())
-        own = [self.auctions[key] for _, key in near if same_auctioneer(self.auctions[key], notice)]
+        n = Facts.of(notice)
+        near = set().union(*(self.index.get(spot, ()) for spot in (("day", n.day), *(("folio", f) for f in n.estate))))
+        own = [a for a in sorted((self.auctions[key] for key in near), key=lambda a: a["place"]) if same_auctioneer(a, notice)]
         return self._other_source(notice, own) or self._other_round(notice, own)
 
     def _other_source(self, notice: dict, candidates: list[dict]) -> str | None:
         """The one auction of that day that this source has not told of yet."""
-        at = notice.get("auction_at") or ""
-        if not at[:10]:
-            return None
-        kind = "dobrovolna" if notice["source"] == "ncrd" else notice.get("kind") or "dobrovolna"
-        wanted = folios(notice.get("properties") or [])
-        left = [
-            a for a in candidates
-            if (a["auction_at"] or "")[:10] == at[:10] and a["kind"] == kind and notice["source"] not in {s["source"] for s in a["sources"]}
-            and not (wanted and folios(a["properties"]) and wanted.isdisjoint(folios(a["properties"])))
-        ]
-        if len(left) > 1 and at[11:16]:
-            left = [a for a in left if (a["auction_at"] or "")[11:16] == at[11:16]] or left
-        if len(left) > 1:
-            words = place_words(notice.get("venue"), *(p.get(k) for p in notice.get("properties") or [] for k in ("obec", "ku")))
-            shared = sorted((len(words & place_words(a["venue"], a["obec"], a["ku"])) for a in left), reverse=True)
-            if shared[0] > shared[1]:
-                left = [a for a in left if len(words & place_words(a["venue"], a["obec"], a["ku"])) == shared[0]]
-        return left[0]["group_key"] if len(left) == 1 else None
+        must, narrow = OTHER_SOURCE
+        own = notice.get("properties") or []
+        n = Facts.of(notice, "dobrovolna" if notice["source"] == "ncrd" else notice.get("kind") or "dobrovolna", *(p.get(k) for p in own for k in ("obec", "ku")))
+        fit = [(Facts.of(a, None, a["obec"], a["ku"]), a) for a in candidates if all(s["source"] != notice["source"] for s in a["sources"])]
+        fit = [(f, a) for f, a in fit if all(test(f, n) for test in must)]
+        for liking in narrow:
+            best = max((liking(f, n) for f, _ in fit), default=0)
+            fit = [(f, a) for f, a in fit if liking(f, n) == best]
+        return fit[0][1]["group_key"] if len(fit) == 1 else None
 
     def _other_round(self, notice: dict, candidates: list[dict]) -> str | None:
-        """The latest auction of the same estate whose day is some weeks to a year away."""
-        wanted = folios(notice.get("properties") or [])
-        if not wanted or not notice.get("kind"):
-            return None
-        day = (notice.get("auction_at") or "")[:10]
-        order = sorted((a for a in candidates if a["kind"] == notice["kind"]), key=lambda a: a["auction_at"] or "", reverse=True)
-        for a in order:
-            if day and a["auction_at"]:
-                gap = abs((date.fromisoformat(a["auction_at"][:10]) - date.fromisoformat(day)).days)
-                if not X.ROUND_GAP_DAYS[0] <= gap <= X.ROUND_GAP_DAYS[1]:
-                    continue
-            if not wanted.isdisjoint(folios(a["properties"])):
-                return a["group_key"]
-        return None
+        """Of the rounds that fit, the latest auction."""
+        n = Facts.of(notice)
+        fit = [a for a in candidates if all(test(Facts.of(a), n) for test in OTHER_ROUND)] if n.estate and n.kind else []
+        return max(fit, key=lambda a: a["auction_at"] or "")["group_key"] if fit else None
 
     # -- merging ---------------------------------------------------------------------------------------------
-    def _apply(self, auction: dict, notice: dict, created: bool, forced: bool) -> None:
+    def _apply(self, auction: dict, notice: dict, created: bool, forced: bool, seen: str) -> None:
         update = self._update(auction, notice, created)
         told = {s["source"] for s in auction["sources"]}
         moved = [f for f in X.TRACKED if f in update and differs(auction[f], update[f])]
@@ -225,9 +261,9 @@ class Ledger:
                     "source": notice["source"], "source_id": notice["source_id"],
                 })
         auction.update(update)
-        auction["last_seen"] = self.now
+        auction["last_seen"], auction["first_seen"] = self.now, min(auction["first_seen"], seen)
         if moved or created:
-            auction["updated_at"] = self.now
+            auction["updated_at"] = max(auction["updated_at"], seen)
         published = notice.get("published_at")
         if published and published >= (auction["last_notice_at"] or ""):
             auction["last_notice_at"] = published
@@ -236,7 +272,7 @@ class Ledger:
             auction["sources"].append(entry)
         properties = notice.get("properties")
         if properties and (forced or not auction["properties"] or richness(properties) >= richness(auction["properties"])):
-            auction["properties"] = [dict(p) for p in properties]
+            auction["properties"] = located_as_before(auction["properties"], properties)
         self._locate(auction)
 
     def _update(self, auction: dict, notice: dict, created: bool) -> dict:
@@ -281,3 +317,6 @@ class Ledger:
             "property_type": main_type([x["type"] for x in estate if x.get("type")]), "okres": p.get("okres"), "obec": p.get("obec"), "ku": p.get("ku"),
             "kraj": p.get("kraj") or region_of_district(p.get("okres")) or region_of_town(p.get("obec")),
         })
+        point = next((x for x in estate if x.get("lat") is not None), None)
+        if point:
+            auction.update({"lat": point["lat"], "lng": point["lng"], "geo_precision": point.get("geo_source")})

@@ -55,6 +55,32 @@ def contained_names(names: DataFrame, least: int = 7) -> DataFrame:
     return met.where((F.col("a") != F.col("b")) & F.contains("b", "a")).select("a", "b").distinct()
 
 
+def meeting(fresh: DataFrame, known: DataFrame, least: int = 7) -> DataFrame:
+    """(block) of the `known` notices that share a key with a fresh one, or whose auctioneer's name contains or is in a fresh one's.
+
+    A superset of what the exact rules tie; names are compared as distinct names, through the first characters of the
+    shorter one, which the longer one must have somewhere.
+    """
+    def keyed(df: DataFrame) -> DataFrame:
+        name, executor = norm_key(F.col("auctioneer_name")), executor_key(F.col("auctioneer_name"))
+        key = lambda kind, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{kind}|"), c))
+        executor = F.when(F.col("auctioneer_name").isNotNull(), F.concat(F.lit("x|"), executor))
+        keys = F.array_compact(F.array(key("c", F.col("case_key")), key("n", F.col("auctioneer_ico")), key("m", name), executor))
+        return df.withColumn("k", F.explode(keys))
+
+    stored = keyed(known).select("block", "k").distinct()
+    wanted = keyed(fresh).select("k").distinct()
+    direct = stored.join(wanted, "k", "left_semi").select("block")
+    names = lambda df: df.where("k like 'm|%'").select(F.substring("k", 3, 1 << 20).alias("name")).where(F.length("name") >= least).distinct()
+    grams = lambda df: df.select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - least + 1), lambda i: F.substring(F.col("name"), i, F.lit(least))))).alias("gram"))
+    starts = lambda df: df.select("name", F.substring("name", 1, least).alias("gram"))
+    old, new = names(stored), names(wanted)
+    inside = starts(old).alias("a").join(grams(new).alias("b"), "gram").where(F.contains("b.name", "a.name")).select("a.name")
+    around = grams(old).alias("b").join(starts(new).alias("a"), "gram").where(F.contains("b.name", "a.name")).select("b.name")
+    tied = inside.union(around).distinct().select(F.concat(F.lit("m|"), "name").alias("k"))
+    return direct.union(stored.join(tied, "k", "left_semi").select("block"))
+
+
 def blocks(notices: DataFrame) -> DataFrame:
     """(source, source_id, block) for each notice.
 
@@ -80,4 +106,4 @@ def blocks(notices: DataFrame) -> DataFrame:
     edges = edges.union(pairs.select(hashed(F.col("a")), hashed(F.col("b"))))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).union(keyed.select(F.xxhash64("own")))
     found = components(edges, nodes)
-    return keyed.join(found, F.xxhash64("own") == F.col("node")).select("source", "source_id", F.col("component").alias("block"))
+    return keyed.join(found, F.xxhash64("own") == F.col("node")).select("source", "source_id", F.col("component").alias("block")).distinct()

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from urllib.parse import parse_qsl, urlencode
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .. import fixed as X
-from ..functions.text import discount, fold_case, lookup, money_short, money_text, public_id, redact, short_title, whole
+from ..functions.text import day_text, discount, fold_case, lookup, money_short, money_text, plural, public_id, redact, short_title, value_text, whole
+from .geo import bounds
 
 
 _NAMES = {"date_from": "from", "date_to": "to"}
@@ -225,6 +226,62 @@ def features(items: DataFrame) -> DataFrame:
     return items.where("lat is not null and lng is not null").select("id", F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), properties.alias("properties"))).alias("feature"))
 
 
+# -- what a page shows -------------------------------------------------------------------------------------------
+def card_title(items: str = "") -> Column:
+    """Title of a list card; an unknown thing without a place is named by its auctioneer."""
+    c = lambda n: F.col(f"{items}{n}")
+    unknown = (c("t") == "ine") & (F.coalesce(c("ob"), F.lit("")) == "")
+    return F.when(unknown, F.concat(F.lit("Dražba – "), F.coalesce(F.nullif(c("au"), F.lit("")), F.lit("bez údajov o predmete")))).otherwise(c("ti"))
+
+
+def history_value(field: Column, value: Column) -> Column:
+    """How a field's old or new value is shown."""
+    return (
+        F.when(value.isNull(), "—").when(field.isin("min_bid", "appraised_value", "deposit", "highest_bid"), money_text(value.try_cast("double")))
+        .when(field == "auction_at", day_text(value)).when(field == "status", F.coalesce(lookup(X.STATUS_LABELS, value), value))
+        .when(field == "round", F.concat(value, F.lit(". kolo"))).otherwise(value)
+    )
+
+
+def field_label(field: Column) -> Column:
+    return F.coalesce(lookup(X.FIELD_LABELS, field), field)
+
+
+def short_type(kind: Column) -> Column:
+    return F.coalesce(lookup(X.SHORT_TYPE_LABELS, kind), kind)
+
+
+def parcels_text(parcels: Column, most: int = X.SHOWN_PARCELS) -> Column:
+    """The first parcels in words, and how many more there are; null for none."""
+    one = lambda p: F.concat(F.when(p["register"] != "", F.concat(p["register"], F.lit(" "))).otherwise(""), p["number"], F.when(p["area_m2"] != 0, F.concat(F.lit(" ("), value_text(p["area_m2"]), F.lit(" m²)"))).otherwise(""))
+    more = F.when(F.size(parcels) > most, F.concat(F.lit(" a ďalších "), F.size(parcels) - most)).otherwise("")
+    return F.when(F.size(parcels) > 0, F.concat(F.array_join(F.transform(F.slice(parcels, 1, most), one), ", "), more))
+
+
+def reason_text(reason: Column, status: Column, most: int = X.SHOWN_REASON) -> Column:
+    """The reason of a cancelled, failed or void auction, cut to a length."""
+    return F.when(status.isin("zrusena", "zmarena", "neplatna") & (reason != ""), F.substring(reason, 1, most))
+
+
+def all_documents(notices: Column) -> Column:
+    return F.flatten(F.transform(notices, lambda n: F.coalesce(n["documents"], F.array())))
+
+
+def camera(properties: Column, polygons: Column) -> Column:
+    """struct(west, south, east, north, lng, lat, zoom): the box of all outlines (`polygons`, rings of points), else the first point and a zoom for it."""
+    box = bounds(F.flatten(F.flatten(F.coalesce(polygons, F.array()))))
+    first = F.try_element_at(F.filter(properties, lambda p: p["lat"].isNotNull()), F.lit(1))
+    boxed = box["west"].isNotNull()
+    zoom = F.when(~boxed & first.isNotNull(), F.when(first["geo_source"] == "ku", X.ZOOM_UNIT).otherwise(X.ZOOM_OTHER))
+    return F.struct(*[box[c].alias(c) for c in ("west", "south", "east", "north")], F.when(~boxed, first["lng"]).alias("lng"), F.when(~boxed, first["lat"]).alias("lat"), zoom.alias("zoom"))
+
+
+def header(items: DataFrame, today: Column, f: Filters) -> DataFrame:
+    """One row: how many items a filter finds (any view), in words, and how many of them the map can't show."""
+    found = items.where(list_predicate(replace(f, in_view=False), today)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lat").isNull()).alias("hidden"))
+    return found.withColumn("text", F.concat("n", F.lit(" "), plural(F.col("n"), "dražba", "dražby", "dražieb")))
+
+
 # -- facets and counts -------------------------------------------------------------------------------------------
 def facets(items: DataFrame, kraj: str | None = None) -> DataFrame:
     """Regions, or the districts of one, in Slovak order."""

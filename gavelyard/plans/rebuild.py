@@ -5,16 +5,28 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from .. import schema as S
 from ..operators import geo, resolve, serve
 from ..operators.merge import Ledger
+from ..sources import read
 
 
 def fold_order(n: dict) -> tuple:
-    """Publication order; of one day the gazette first, then by id as text."""
-    return n.get("published_at") or "", n["source"] != "ov", str(n["source_id"])
+    """Publication order; of one day the gazette first, then by id as text, then versions as they came."""
+    return n.get("published_at") or "", n["source"] != "ov", str(n["source_id"]), n.get("versioned_at") or "", n.get("first_seen") or ""
+
+
+def fold_order_columns() -> list[Column]:
+    """The same order of notices for whole tables."""
+    return [F.coalesce("published_at", F.lit("")).asc(), (F.col("source") != "ov").asc(), F.col("source_id").asc()]
+
+
+def in_order(notices: DataFrame) -> DataFrame:
+    """All notices with their place in the order of a rebuild."""
+    return serve.placed(notices, *fold_order_columns())
 
 
 def _fold(now: str):
@@ -24,23 +36,25 @@ def _fold(now: str):
         for n in sorted(map(json.loads, rows["body"]), key=fold_order):
             result = ledger.ingest(n)
             known = ledger.notices[n["source"], n["source_id"]]
-            results.append({"source": n["source"], "source_id": n["source_id"], "result": result, "content_hash": known["content_hash"], "group_key": known["group_key"]})
+            row = {"source": n["source"], "source_id": n["source_id"], "result": result, "content_hash": known["content_hash"], "group_key": known["group_key"], "first_seen": known["first_seen"]}
+            results.append(row | {"case_key": n.get("case_key")})
         out = [("auction", a) for a in ledger.auctions.values()] + [("notice", r) for r in results]
-        return pd.DataFrame({"kind": [k for k, _ in out], "body": [json.dumps(v, ensure_ascii=False) for _, v in out]})
+        return pd.DataFrame({"block": rows["block"].iloc[0], "kind": [k for k, _ in out], "body": [json.dumps(v, ensure_ascii=False) for _, v in out]})
 
     return run
 
 
-def fold(notices: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+def fold(notices: DataFrame, now: str, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(auctions, assignments) of all notices: one keyed shuffle by block, then the exact ordered merge.
 
-    A block holds all notices of one auctioneer and those tied to them; a very large one is one task.
+    A block holds all notices of one auctioneer and those tied to them; a very large one is one task, whose rows are
+    indexed by day and folio, so its time grows with its notices and not with their square. Both results have `block`.
     """
-    blocks = resolve.blocks(notices)
+    blocks = resolve.blocks(notices) if blocks is None else blocks
     body = F.to_json(F.struct(*[c for c in notices.columns if not c.startswith("_")]))
     rows = notices.withColumn("body", body).select("source", "source_id", "body").join(blocks, ["source", "source_id"]).select("block", "body")
-    out = resolve.cut(rows.groupBy("block").applyInPandas(_fold(now), "kind string, body string"))
-    read = lambda kind, ddl: out.where(F.col("kind") == kind).select(F.from_json("body", S.struct(ddl)).alias("r")).select("r.*")
+    out = resolve.cut(rows.groupBy("block").applyInPandas(_fold(now), "block long, kind string, body string"))
+    read = lambda kind, ddl: out.where(F.col("kind") == kind).select("block", F.from_json("body", S.struct(ddl)).alias("r")).select("r.*", "block")
     return read("auction", S.AUCTION), read("notice", S.ASSIGNMENT)
 
 
@@ -50,18 +64,52 @@ def latest_notices(*parts: DataFrame) -> DataFrame:
     for k, part in enumerate(parts):
         part = part.withColumn("_part", F.lit(k))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if "first_seen" in out.columns:  # a later part doesn't make a notice new
+        out = out.withColumn("first_seen", F.min("first_seen").over(Window.partitionBy("source", "source_id")))
     return serve.newest_by_key(out, ["source", "source_id"], F.col("_part").desc()).drop("_part")
 
 
-def with_places(auctions: DataFrame, units: DataFrame, parcels: DataFrame, normalize_register: bool = False) -> DataFrame:
-    """Auctions with the point and precision of their first located property."""
+def with_places(auctions: DataFrame, units: DataFrame, parcels: DataFrame, normalize_register: bool = False, redo: bool = False) -> DataFrame:
+    """Auctions whose properties have points, and with the point of the first property that has one.
+
+    Properties located before keep their point, unless `redo` asks for all of them again.
+    """
     each = auctions.select("group_key", F.posexplode("properties").alias("idx", "p"))
-    asked = each.select(F.concat_ws("\u0001", "group_key", "idx").alias("pid"), "p.ku", "p.obec", "p.parcels")
+    open_ = each if redo else each.where("p.lat is null")
+    asked = open_.select(F.concat_ws("\u0001", "group_key", "idx").alias("pid"), "p.ku", "p.obec", "p.parcels")
     found = geo.locate(asked, units, parcels, normalize_register).where("lat is not null")
-    place = F.struct(F.substring_index("pid", "\u0001", -1).cast("int").alias("idx"), "lat", "lng", "precision")
-    first = found.groupBy(F.substring_index("pid", "\u0001", 1).alias("group_key")).agg(F.min(place).alias("_g"))
-    joined = auctions.join(first, "group_key", "left")
-    return joined.withColumns({"lat": F.col("_g.lat"), "lng": F.col("_g.lng"), "geo_precision": F.col("_g.precision")}).drop("_g")
+    point = F.struct(F.substring_index("pid", "\u0001", -1).cast("int").alias("idx"), "lat", "lng", F.col("precision").alias("geo_source"))
+    points = found.groupBy(F.substring_index("pid", "\u0001", 1).alias("group_key")).agg(F.collect_list(point).alias("_points"))
+
+    def placed(p: Column, i: Column) -> Column:
+        new = F.try_element_at(F.filter("_points", lambda x: x["idx"] == i), F.lit(1))
+        take = lambda c: F.when(new.isNotNull(), new[c]).otherwise(p[c])
+        return p.withField("lat", take("lat")).withField("lng", take("lng")).withField("geo_source", take("geo_source"))
+
+    joined = auctions.join(points, "group_key", "left").withColumn("properties", F.transform("properties", placed))
+    first = F.try_element_at(F.filter("properties", lambda p: p["lat"].isNotNull()), F.lit(1))
+    rolled = {"lat": F.coalesce(first["lat"], "lat"), "lng": F.coalesce(first["lng"], "lng"), "geo_precision": F.coalesce(first["geo_source"], "geo_precision")}
+    return joined.withColumns(rolled).drop("_points")
+
+
+def case_counts(notices: DataFrame) -> DataFrame:
+    """(group_key, source, cases): by the rules an auction has one case of the register at most."""
+    return notices.groupBy("group_key", "source").agg(F.count_distinct("case_key").alias("cases"))
+
+
+def reparse(raw: DataFrame, stored: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """(auctions, assignments) after reading all stored filings again with the present parser.
+
+    Stored notices go first, then their filings as further versions in the order of their ids: a changed one keeps its
+    auction and first day of publication, and its properties replace the old ones even where they say less.
+    """
+    again = read.notices(raw.where("source = 'ov'")).where("_error is null").drop("_error")
+    first = stored.select("source", "source_id", F.coalesce("published_at", F.lit("")).alias("_day"), F.col("first_seen").alias("_seen"))
+    again = again.join(first, ["source", "source_id"], "left")
+    # a version sorts behind its first one, on whose day it is placed
+    again = again.withColumns({"published_at": F.coalesce(F.nullif("_day", F.lit("")), "published_at"), "first_seen": F.coalesce("_seen", F.lit(now)), "versioned_at": F.lit(now)}).drop("_day", "_seen")
+    notices = resolve.cut(stored.unionByName(again, allowMissingColumns=True))
+    return fold(notices, now)
 
 
 def write_export(auctions: DataFrame, notices: DataFrame, out: str, version: str, today: str) -> None:
@@ -77,7 +125,10 @@ def write_export(auctions: DataFrame, notices: DataFrame, out: str, version: str
         ("features", serve.features(items)), ("meta", serve.stats(auctions, told, day)),
     ):
         df.write.mode("overwrite").json(f"{out}/{version}/{name}")
-    spark = auctions.sparkSession
+    point_to(auctions.sparkSession, out, version)
+
+
+def point_to(spark: SparkSession, out: str, version: str) -> None:
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{out}/current")
 
 
@@ -115,8 +166,12 @@ def daily(steps: dict[str, object]) -> tuple[dict[str, object], int]:
     return results, int(bool(results) and len(failed) == len(results))
 
 
+def read_export(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A table of the export that the pointer names, in the schema it was written with."""
+    version = spark.read.schema("version string").json(f"{out}/current").first()["version"]
+    return spark.read.json(f"{out}/{version}/{name}")
+
+
 def run_counts(assignments: DataFrame) -> DataFrame:
     """Counters of a run: how many notices were new, changed or the same."""
     return assignments.groupBy("result").agg(F.count(F.lit(1)).alias("n"))
-
-

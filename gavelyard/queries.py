@@ -76,10 +76,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEGAL = _q(X.LEGAL_FORM)
 
 
-@query(f"""SELECT doc_id, trim(regexp_replace(replace(regexp_replace(replace(strip_accents(lower(substr(text, 1, 80))), 'ß', 'zzqzz'), '{_LEGAL}', ' ', 'g'), 'zzqzz', ' '),
-  '[^a-z0-9]+', ' ', 'g')) AS name_key FROM documents""")
+@query(f"""SELECT p_partkey, trim(regexp_replace(regexp_replace(strip_accents(lower('DRAŽBY ' || p_name || ' ' || p_brand || ', s. r. o.')), '{_LEGAL}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name_key FROM part""")
 def norm_key_names(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", text.norm_key(F.substring("text", 1, 80)).alias("name_key"))
+    """Company names with accents, capitals, signs and a legal form."""
+    return t(spark, sf_dir, "part").select("p_partkey", text.norm_key(F.concat(F.lit("DRAŽBY "), "p_name", F.lit(" "), "p_brand", F.lit(", s. r. o."))).alias("name_key"))
 
 
 @query(f"""SELECT doc_id, length(x) AS n, md5(x) AS digest FROM (SELECT doc_id, trim(regexp_replace(replace(regexp_replace(replace(strip_accents(lower(text)), 'ß', 'zzqzz'), '{_LEGAL}', ' ', 'g'), 'zzqzz', ' '),
@@ -145,13 +145,11 @@ def classify_cascade(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", text.property_type(F.concat("p_name", F.lit(": "), phrase)).alias("kind"))
 
 
-@query(f"""SELECT doc_id, md5(regexp_replace(regexp_replace(text || ' Ján Vzor (nar. 1. 2. 1970), r. č. 700102/1234', '(?i){_q(X.REDACT_BIRTH)}', '(nar. {X.REDACTED})', 'g'),
-  '(?i){_q(X.REDACT_NUMBER)}', 'r. č. {X.REDACTED}', 'g')) AS digest FROM documents""")
+@query(f"SELECT doc_id, md5(text || '; {X.REDACTED} (nar. {X.REDACTED}), r. č. {X.REDACTED}; bytom {X.REDACTED}') AS digest FROM documents")
 def redact_numbers_documents(spark, sf_dir):
-    c = F.concat("text", F.lit(" Ján Vzor (nar. 1. 2. 1970), r. č. 700102/1234"))
-    for pattern, put in ((X.REDACT_BIRTH, f"(nar. {X.REDACTED})"), (X.REDACT_NUMBER, f"r. č. {X.REDACTED}")):
-        c = F.regexp_replace(c, f"(?iu){pattern}", put)
-    return t(spark, sf_dir, "documents").select("doc_id", F.md5(c).alias("digest"))
+    """Whole texts that end in a person's name, birth date, number and address."""
+    c = F.concat("text", F.lit("; Ján Vzor (nar. 1. 2. 1970), r. č. 700102/1234; bytom Dlhá "), "doc_id")
+    return t(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact(c)).alias("digest"))
 
 
 @query(f"SELECT c_custkey, 'povinný: {X.REDACTED}, bytom {X.REDACTED}' AS shown FROM customer")
@@ -185,12 +183,6 @@ def json_props(spark, sf_dir):
 
 
 # -- sources and sinks -------------------------------------------------------------------------------------------
-@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash, count(*) AS copies FROM documents GROUP BY text")
-def content_hash_dedup(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    return d.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "content_hash", "copies")
-
-
 @query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
 def upsert_latest(spark, sf_dir):
     e = t(spark, sf_dir, "events")
@@ -225,8 +217,12 @@ ORACLES["parse_filings"] = """SELECT CAST(o_orderkey AS VARCHAR) AS source_id, '
 @query("SELECT event_type AS source, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place FROM events")
 def raw_replay(spark, sf_dir):
     """Stored items in the numeric order of their ids, source by source."""
-    e = t(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("source_id"))
-    return e.select("source", F.col("source_id").cast("long").alias("event_id"), F.row_number().over(Window.partitionBy("source").orderBy(F.col("source_id").try_cast("long"))).alias("place"))
+    raw = t(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("source_id"))
+    out = None
+    for source in ("view", "signup", "purchase", "error", "click"):
+        one = read.raw_in_order(raw, source).select("source", F.col("source_id").cast("long").alias("event_id"), "place")
+        out = one if out is None else out.union(one)
+    return out
 
 
 # -- filters and sorts -------------------------------------------------------------------------------------------
@@ -313,9 +309,11 @@ def place_guard(spark, sf_dir):
 
 
 # -- joins -------------------------------------------------------------------------------------------------------
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS source_id FROM orders WHERE o_orderkey % 4 = 0")
 def anti_known(spark, sf_dir):
-    return t(spark, sf_dir, "customer").join(t(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    """Notices whose filing isn't stored."""
+    ids = t(spark, sf_dir, "orders").select(F.lit("ov").alias("source"), F.col("o_orderkey").cast("string").alias("source_id"))
+    return rebuild.missing_raw(ids, ids.where("CAST(source_id AS BIGINT) % 4 <> 0"))
 
 
 _SEARCHES = [(1, "HOUSEHOLD", None, ["byt", "dom"], None, 20000.0, 200000.0, "", "customer"), (2, None, "NATION_3", None, ["exekucna"], None, None, "2+", ""), (3, "", "", [], [], None, 50000.0, "1", "#000000")]
@@ -332,43 +330,6 @@ def saved_search_match(spark, sf_dir):
     return serve.alerts(a, s, sent, F.to_date(F.lit(_TODAY)))
 
 
-@query("""SELECT o_orderkey, count(l_orderkey) AS n, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS lines,
-  CASE WHEN coalesce(sum(CAST(l_quantity AS BIGINT)), 0) = 0 THEN NULL ELSE CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) END AS total FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
-def nested_export(spark, sf_dir):
-    li = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("area_m2")))).alias("lines"))
-    o = t(spark, sf_dir, "orders").join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    spelled = F.array_join(F.transform("lines", lambda x: F.concat(x["l_linenumber"], F.lit(":"), x["l_partkey"])), ",")
-    estate = F.array(F.struct(F.transform("lines", lambda x: F.struct(x["area_m2"].alias("area_m2"))).alias("parcels")))
-    return o.select("o_orderkey", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n"), spelled.alias("lines"), serve.land_area(estate).alias("total"))
-
-
-@query("""SELECT a.o_orderkey AS notice, min(b.o_orderkey) AS auction FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderstatus = 'F' AND b.o_orderstatus <> 'F'
-  GROUP BY a.o_orderkey HAVING count(*) = 1""")
-def rule_a_unique_match(spark, sf_dir):
-    """The one auction of the same auctioneer and day that another source told of."""
-    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
-    a, b = o.where("o_orderstatus = 'F'").withColumnRenamed("o_orderkey", "notice"), o.where("o_orderstatus != 'F'").select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("auction"))
-    pairs = a.join(b, ["o_custkey", "o_orderdate"])
-    return pairs.groupBy("notice").agg(F.min("auction").alias("auction"), F.count(F.lit(1)).alias("n")).where("n = 1").select("notice", "auction")
-
-
-@query("""SELECT notice, auction FROM (SELECT a.o_orderkey AS notice, b.o_orderkey AS auction, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY b.o_orderdate DESC, b.o_orderkey) AS k
-  FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND abs(date_diff('day', a.o_orderdate, b.o_orderdate)) BETWEEN 14 AND 366) WHERE k = 1""")
-def rule_b_next_round(spark, sf_dir):
-    """Another round of the same estate: the latest of those 14 to 366 days away."""
-    o = t(spark, sf_dir, "orders")
-    a, b = o.select(F.col("o_orderkey").alias("notice"), "o_custkey", F.col("o_orderdate").alias("day")), o.select(F.col("o_orderkey").alias("auction"), "o_custkey", F.col("o_orderdate").alias("at"))
-    near = a.join(b, "o_custkey").where(F.abs(F.date_diff("day", "at")).between(*X.ROUND_GAP_DAYS))
-    return near.groupBy("notice").agg(F.max_by(F.col("auction"), F.struct("at", (-F.col("auction")).alias("k"))).alias("auction"))
-
-
-@query("""SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY sqrt(power(c_acctbal - s_acctbal, 2)), s_suppkey) AS k FROM customer JOIN supplier ON c_nationkey = s_nationkey) WHERE k = 1""")
-def nearest_candidate(spark, sf_dir):
-    c, s = t(spark, sf_dir, "customer"), t(spark, sf_dir, "supplier")
-    away = geo.distance(F.col("c_acctbal"), F.lit(0.0), F.col("s_acctbal"), F.lit(0.0))
-    return c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct(away, "s_suppkey")).alias("s_suppkey"))
-
-
 @query("""SELECT DISTINCT a.p AS a, b.p AS b FROM (SELECT DISTINCT p_name AS p FROM part) a, (SELECT DISTINCT p_name || ' ' || lower(p_brand) AS p FROM part) b WHERE length(a.p) >= 7 AND contains(b.p, a.p) AND a.p <> b.p""")
 def near_duplicate_keys(spark, sf_dir):
     """Names that another name contains, through the first characters of the shorter one."""
@@ -392,24 +353,6 @@ def facet_dependent(spark, sf_dir):
     return serve.facets(items(spark, sf_dir), "MACHINERY")
 
 
-@query(f"SELECT k, s, count(*) AS n, count(lat) AS with_coords, count(*) FILTER (WHERE d >= '{_TODAY}') AS upcoming FROM ({ITEMS_SQL}) GROUP BY ROLLUP (k, s)")
-def stats_rollup(spark, sf_dir):
-    return items(spark, sf_dir).rollup("k", "s").agg(F.count(F.lit(1)).alias("n"), F.count("lat").alias("with_coords"), F.count_if(F.col("d") >= _TODAY).alias("upcoming"))
-
-
-@query("SELECT event_type AS source, count(*) AS notices, count(DISTINCT user_id) AS auctions FROM events GROUP BY event_type")
-def distinct_by_source(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("notices"), F.count_distinct("user_id").alias("auctions"))
-
-
-@query("SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'A') THEN 'byt' WHEN bool_or(l_returnflag = 'N') THEN 'dom' ELSE 'garaz' END AS main_type, CASE WHEN max(CASE WHEN l_linestatus = 'O' THEN 2 ELSE 1 END) = 2 THEN 2 ELSE 1 END AS best_rank FROM lineitem GROUP BY l_orderkey")
-def main_type_priority(spark, sf_dir):
-    kind = F.when(F.col("l_returnflag") == "A", "byt").when(F.col("l_returnflag") == "N", "dom").otherwise("garaz")
-    rank = F.array_position(F.array(*map(F.lit, X.TYPE_PRIORITY)), kind)
-    best = F.max(text.lookup(X.SOURCE_RANK, F.when(F.col("l_linestatus") == "O", "ov").otherwise("ncrd")))
-    return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by(kind, rank).alias("main_type"), F.coalesce(best, F.lit(0)).alias("best_rank"))
-
-
 @query("SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS place FROM events ORDER BY event_id DESC LIMIT 10")
 def last_runs_topk(spark, sf_dir):
     return _ranked(t(spark, sf_dir, "events").select("event_id"), [F.col("event_id").desc()], 10)
@@ -418,18 +361,17 @@ def last_runs_topk(spark, sf_dir):
 @query("""SELECT origin, id, published_at FROM (SELECT 'ov' AS origin, CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d') AS published_at FROM orders
   UNION ALL SELECT 'ncrd', CAST(event_id AS VARCHAR), strftime(ts, '%Y-%m-%d') FROM events) ORDER BY published_at, origin <> 'ov', id LIMIT 100""")
 def rebuild_union_order(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").select(F.lit("ov").alias("origin"), F.col("o_orderkey").cast("string").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published_at"))
-    e = t(spark, sf_dir, "events").select(F.lit("ncrd").alias("origin"), F.col("event_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("published_at"))
-    return serve.latest(o.unionByName(e, allowMissingColumns=True), 100, F.col("published_at"), F.col("origin") != "ov", F.col("id"))
+    """The first hundred notices of a rebuild."""
+    return rebuild_union_places(spark, sf_dir).where("place <= 100").drop("place")
 
 
 @query("""SELECT origin, id, published_at, row_number() OVER (ORDER BY coalesce(published_at, ''), origin <> 'ov', id) AS place FROM (SELECT 'ov' AS origin, CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%d') AS published_at FROM orders
   UNION ALL SELECT 'ncrd', CAST(event_id AS VARCHAR), strftime(ts, '%Y-%m-%d') FROM events)""")
 def rebuild_union_places(spark, sf_dir):
     """The whole order of a rebuild: every notice with its place; those without a day come first."""
-    o = t(spark, sf_dir, "orders").select(F.lit("ov").alias("origin"), F.col("o_orderkey").cast("string").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published_at"))
-    e = t(spark, sf_dir, "events").select(F.lit("ncrd").alias("origin"), F.col("event_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("published_at"))
-    return serve.placed(o.unionByName(e), F.coalesce("published_at", F.lit("")).asc(), (F.col("origin") != "ov").asc(), F.col("id").asc())
+    o = t(spark, sf_dir, "orders").select(F.lit("ov").alias("source"), F.col("o_orderkey").cast("string").alias("source_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published_at"))
+    e = t(spark, sf_dir, "events").select(F.lit("ncrd").alias("source"), F.col("event_id").cast("string").alias("source_id"), F.date_format("ts", "yyyy-MM-dd").alias("published_at"))
+    return rebuild.in_order(o.unionByName(e)).withColumnsRenamed({"source": "origin", "source_id": "id"})
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
@@ -437,34 +379,7 @@ def event_windows(spark, sf_dir):
     return ingest.event_windows(t(spark, sf_dir, "events")).withColumn("total", F.round("total", 2))
 
 
-# -- merge -------------------------------------------------------------------------------------------------------
-_NOTICE = {"view": "oznamenie", "signup": "opakovana", "purchase": "vysledok", "error": "zmarenie", "click": "upustenie"}
-
-
-@query(f"""SELECT user_id, list_reduce(list({_case(_NOTICE, 'event_type')} ORDER BY ts, event_id), lambda s, x: CASE WHEN x = 'vysledok' THEN 'prebehla' WHEN x = 'zmarenie' THEN 'zmarena' WHEN x = 'upustenie' THEN 'zrusena'
-  WHEN s IN ('pripravovana', 'prebehla', 'zmarena') THEN 'pripravovana' ELSE s END, 'pripravovana') AS status FROM events GROUP BY user_id""")
-def status_machine_fold(spark, sf_dir):
-    """The status of an auction after its notices in order, as one aggregate expression."""
-    e = t(spark, sf_dir, "events").withColumn("x", text.lookup(_NOTICE, F.col("event_type")))
-    told = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "x"))).alias("n"))
-    step = lambda s, n: F.coalesce(text.lookup(X.STATUS_BY_NOTICE, n["x"]), F.when(s.isin("pripravovana", "prebehla", "zmarena"), F.lit("pripravovana")).otherwise(s))
-    return told.select("user_id", F.aggregate("n", F.lit("pripravovana"), step).alias("status"))
-
-
-@query("SELECT user_id, arg_max(value, event_id) FILTER (WHERE event_type <> 'error') AS min_bid, arg_max(event_type, event_id) AS last_type, max(ts) AS last_notice_at, arg_min(value, event_id) FILTER (WHERE value > 10) AS first_filled FROM events GROUP BY user_id")
-def field_merge_latest(spark, sf_dir):
-    when = lambda test, c: F.when(test, F.col(c))
-    newest = F.max_by("value", when(F.col("event_type") != "error", "event_id"))
-    return t(spark, sf_dir, "events").groupBy("user_id").agg(newest.alias("min_bid"), F.max_by("event_type", "event_id").alias("last_type"), F.max("ts").alias("last_notice_at"), F.min_by("value", when(F.col("value") > 10, "event_id")).alias("first_filled"))
-
-
-@query("""SELECT user_id, event_id, old_value, new_value FROM (SELECT user_id, event_id, lag(value) OVER w AS old_value, value AS new_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE old_value IS NOT NULL AND abs(old_value - new_value) > 0.005""")
-def change_history(spark, sf_dir):
-    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
-    e = t(spark, sf_dir, "events").select("user_id", "event_id", before.alias("old_value"), F.col("value").alias("new_value"))
-    return e.where(F.col("old_value").isNotNull() & text.differs(F.col("old_value"), F.col("new_value")))
-
-
+# -- components -------------------------------------------------------------------------------------------------
 @query("SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component FROM customer")
 def component_resolution(spark, sf_dir):
     """Customers joined through shared keys, by label spreading over a graph of customers and keys."""
@@ -474,62 +389,35 @@ def component_resolution(spark, sf_dir):
     return found.where("node >= 0").join(named, "component").select("node", F.col("least").alias("component"))
 
 
-def order_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order as a gazette notice of the customer's auctions."""
-    o = t(spark, sf_dir, "orders")
-    kind = F.when(F.col("o_orderstatus") == "P", "vysledok").otherwise("oznamenie")
-    estate = F.array(F.struct(F.lit("byt").alias("type"), F.lit("Nitra").alias("obec"), F.lit("Nitra").alias("ku"), F.lit("Nitra").alias("okres"), F.array((F.col("o_orderkey") % 3).cast("string")).alias("lv")))
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return o.select(
-        F.lit("ov").alias("source"), F.col("o_orderkey").cast("string").alias("source_id"), F.lit("dobrovolna").alias("kind"), kind.alias("notice_type"), day.alias("published_at"), F.concat(day, F.lit("T10:00:00")).alias("auction_at"),
-        F.col("o_orderkey").cast("string").alias("auction_number"), F.concat_ws("|", F.lit("dd"), "o_custkey", "o_orderkey").alias("case_key"), F.concat(F.lit("Kladivko "), "o_custkey").alias("auctioneer_name"),
-        F.lpad(F.col("o_custkey").cast("string"), 8, "1").alias("auctioneer_ico"), F.col("o_totalprice").alias("min_bid"), F.concat(F.lit("OV "), "o_orderkey").alias("source_label"), F.lit("u").alias("source_url"), estate.alias("properties"),
-    )
-
-
-@query()
-def auction_rebuild(spark, sf_dir):
-    """All orders folded into auctions: list items with their history."""
-    auctions, _ = rebuild.fold(order_notices(spark, sf_dir), "2026-01-01T00:00:00+00:00")
-    shown = serve.list_items(auctions, F.to_date(F.lit(_TODAY)))
-    counts = auctions.select(text.public_id(F.col("group_key")).alias("id"), F.size("history").alias("n_history"), F.size("sources").alias("n_sources"))
-    return shown.select("id", "k", "s", "t", "ti", "kr", "d", "mb").join(counts, "id")
-
-
-@query("SELECT CAST(count(*) AS BIGINT) AS notices FROM orders")
-def auction_rebuild_sources(spark, sf_dir):
-    """Every notice ends in exactly one auction's sources."""
-    auctions, _ = rebuild.fold(order_notices(spark, sf_dir), "2026-01-01T00:00:00+00:00")
-    return auctions.agg(F.sum(F.size("sources")).cast("long").alias("notices"))
-
-
 # -- geometry ----------------------------------------------------------------------------------------------------
-def _ring(embedding: Column) -> Column:
-    """The vector's first 16 numbers as 8 integer points, closed."""
-    n = F.transform(F.slice(embedding, 1, 16), lambda v: F.round(v.cast("double") * 1000, 0))
-    points = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.array(F.element_at(n, 2 * k + 1), F.element_at(n, 2 * k + 2)))
-    return F.concat(points, F.slice(points, 1, 1))
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's numbers two by two as integer points, closed."""
+    k = F.floor(F.size("embedding") / 2).cast("int")
+    number = lambda i: F.round(F.element_at("embedding", i).cast("double") * 1000, 0)
+    points = F.transform(F.sequence(F.lit(0), k), lambda i: F.array(number(2 * (i % k) + 1), number(2 * (i % k) + 2)))
+    return t(spark, sf_dir, "embeddings").select("vec_id", points.alias("ring"))
 
 
-_RING_SQL = "SELECT vec_id, [round(CAST(embedding[1 + (2 * k) % 16] AS DOUBLE) * 1000, 0) FOR k IN range(0, 9)] AS xs, [round(CAST(embedding[2 + (2 * k) % 16] AS DOUBLE) * 1000, 0) FOR k IN range(0, 9)] AS ys FROM embeddings"
+_RING_SQL = """SELECT vec_id, k + 1 AS m, [round(CAST(embedding[1 + (2 * i) % (2 * k)] AS DOUBLE) * 1000, 0) FOR i IN range(0, k + 1)] AS xs, [round(CAST(embedding[2 + (2 * i) % (2 * k)] AS DOUBLE) * 1000, 0) FOR i IN range(0, k + 1)] AS ys
+  FROM (SELECT vec_id, embedding, len(embedding) // 2 AS k FROM embeddings)"""
 
 
-@query(f"""SELECT vec_id, CASE WHEN a <> 0 THEN round(cx / (3 * a), 6) END AS lng, CASE WHEN a <> 0 THEN round(cy / (3 * a), 6) END AS lat FROM (SELECT vec_id, list_sum([xs[k] * ys[k + 1] - xs[k + 1] * ys[k] FOR k IN range(1, 9)]) AS a,
-  list_sum([(xs[k] + xs[k + 1]) * (xs[k] * ys[k + 1] - xs[k + 1] * ys[k]) FOR k IN range(1, 9)]) AS cx, list_sum([(ys[k] + ys[k + 1]) * (xs[k] * ys[k + 1] - xs[k + 1] * ys[k]) FOR k IN range(1, 9)]) AS cy FROM ({_RING_SQL}))""")
+@query(f"""SELECT vec_id, CASE WHEN a <> 0 THEN round(cx / (3 * a), 6) END AS lng, CASE WHEN a <> 0 THEN round(cy / (3 * a), 6) END AS lat FROM (SELECT vec_id, list_sum([xs[k] * ys[k + 1] - xs[k + 1] * ys[k] FOR k IN range(1, m)]) AS a,
+  list_sum([(xs[k] + xs[k + 1]) * (xs[k] * ys[k + 1] - xs[k + 1] * ys[k]) FOR k IN range(1, m)]) AS cx, list_sum([(ys[k] + ys[k + 1]) * (xs[k] * ys[k + 1] - xs[k + 1] * ys[k]) FOR k IN range(1, m)]) AS cy FROM ({_RING_SQL}))""")
 def ring_centroid(spark, sf_dir):
-    c = geo.centroid(F.array(F.array(_ring(F.col("embedding")))))
-    return t(spark, sf_dir, "embeddings").select("vec_id", F.round(c["lng"], 6).alias("lng"), F.round(c["lat"], 6).alias("lat"))
+    c = rings(spark, sf_dir).select("vec_id", geo.centroid(F.array(F.array("ring"))).alias("c"))
+    return c.select("vec_id", F.round("c.lng", 6).alias("lng"), F.round("c.lat", 6).alias("lat"))
 
 
 @query(f"SELECT vec_id, list_min(xs) AS west, list_min(ys) AS south, list_max(xs) AS east, list_max(ys) AS north FROM ({_RING_SQL})")
 def ring_bounds(spark, sf_dir):
-    return t(spark, sf_dir, "embeddings").select("vec_id", geo.bounds(_ring(F.col("embedding"))).alias("b")).select("vec_id", "b.*")
+    return rings(spark, sf_dir).select("vec_id", geo.bounds(F.col("ring")).alias("b")).select("vec_id", "b.*")
 
 
-@query(f"""SELECT vec_id, len(kept) + 1 AS n, CAST(list_sum([p.x FOR p IN kept]) + xs[9] AS DOUBLE) AS x_sum FROM (SELECT vec_id, xs, list_reduce([[{{'x': xs[k], 'y': ys[k]}}] FOR k IN range(2, 9)],
+@query(f"""SELECT vec_id, len(kept) + 1 AS n, CAST(list_sum([p.x FOR p IN kept]) + xs[m] AS DOUBLE) AS x_sum FROM (SELECT vec_id, xs, m, list_reduce([[{{'x': xs[k], 'y': ys[k]}}] FOR k IN range(2, m)],
   lambda out, p: CASE WHEN abs(p[1].x - out[-1].x) > 40 OR abs(p[1].y - out[-1].y) > 40 THEN list_concat(out, p) ELSE out END, [{{'x': xs[1], 'y': ys[1]}}]) AS kept FROM ({_RING_SQL}))""")
 def ring_simplify(spark, sf_dir):
-    r = t(spark, sf_dir, "embeddings").select("vec_id", geo.simplify_ring(_ring(F.col("embedding")), 40).alias("r"))
+    r = rings(spark, sf_dir).select("vec_id", geo.simplify_ring(F.col("ring"), 40).alias("r"))
     return r.select("vec_id", F.size("r").cast("long").alias("n"), F.aggregate("r", F.lit(0.0), lambda s, p: s + p[0]).alias("x_sum"))
 
 
@@ -560,3 +448,6 @@ def map_features(spark, sf_dir):
     f = serve.features(items(spark, sf_dir).withColumn("gp", F.lit("ku")))
     read_back = F.from_json("feature", "geometry struct<coordinates:array<double>>, properties struct<past:int>")
     return f.select("id", read_back["properties"]["past"].alias("past"), read_back["geometry"]["coordinates"][0].alias("lng"))
+
+
+from . import stories  # noqa: E402, F401  its queries register themselves

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
+from ..operators import serve
 from . import parse
 
 ITEM = "id long, file_name string, content string, created_at string, updated_at string, bulletin_issue struct<year:int,number:int,published_at:string>"
@@ -36,8 +37,8 @@ def with_source(items: DataFrame) -> DataFrame:
 
 
 def raw_in_order(raw: DataFrame, source: str) -> DataFrame:
-    """Stored items of a source by their numeric id."""
-    return raw.where(F.col("source") == source).orderBy(F.col("source_id").try_cast("long"))
+    """Stored items of a source with their `place` by numeric id, from 1."""
+    return serve.placed(raw.where(F.col("source") == source), F.col("source_id").try_cast("long").asc_nulls_first(), F.col("source_id").asc())
 
 
 def notices(raw: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def notices(raw: DataFrame) -> DataFrame:
                 out.append(json.dumps({"_error": f"{type(e).__name__}: {e}", "source": "ov", "source_id": json.loads(rest).get("source_id")}))
         return pd.Series(out, dtype=object)
 
-    meta = F.to_json(F.struct("source_id", "created_at", "bulletin_issue"))
+    meta = F.to_json(F.struct("source_id", "created_at", "updated_at", "bulletin_issue"))
     wanted = raw.where(is_auction(F.col("file_name")) & (F.col("content") != ""))
     read = F.from_json(parsed("file_name", "content", meta), S.struct(f"{S.NOTICE}, _error string"))
     return wanted.select(read.alias("n")).where("n is not null").select("n.*")
@@ -108,6 +109,25 @@ def cadastral_units(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("code", F.col("v")[0].alias("label"), F.col("v")[1].cast("double").alias("lat"), F.col("v")[2].cast("double").alias("lng"))
 
 
+def parcel_points(spark: SparkSession, path: str) -> DataFrame:
+    """ref, lat, lng, geom of a JSON object {ref: [lat, lng, GeoJSON Polygon or MultiPolygon]}; null lat: known not to exist."""
+    text = spark.read.option("wholetext", True).text(path)
+    pairs = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("ref", "v"))
+    at = lambda k: F.try_element_at("v", F.lit(k))
+    kind, body = F.get_json_object(at(3), "$.type"), F.get_json_object(at(3), "$.coordinates")
+    one, many = F.from_json(body, "array<array<array<double>>>"), F.from_json(body, "array<array<array<array<double>>>>")
+    geom = F.when(kind == "Polygon", F.array(one)).when(kind == "MultiPolygon", many)
+    return pairs.select("ref", at(1).try_cast("double").alias("lat"), at(2).try_cast("double").alias("lng"), geom.alias("geom"))
+
+
+def raw_versions(raw: DataFrame) -> DataFrame:
+    """One row per (source, source_id): content and times of the newest version, the file name of the first."""
+    newest = F.struct(F.coalesce("updated_at", "created_at", F.lit("")).alias("t"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("tie"))
+    rest = [c for c in raw.columns if c not in ("source", "source_id", "file_name")]
+    picked = raw.groupBy("source", "source_id").agg(F.max_by(F.struct(*rest), newest).alias("_new"), F.min_by("file_name", newest).alias("file_name"))
+    return picked.select("source", "source_id", "file_name", "_new.*").select(*raw.columns)
+
+
 def documents_text(spark: SparkSession, path: str, pages: int = 15) -> DataFrame:
     """Text of PDF files, empty where one can't be read or the optional reader is missing."""
 
