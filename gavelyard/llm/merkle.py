@@ -28,6 +28,11 @@ def _digest(x: Column) -> Column:
     return F.substring(F.sha2(x, 256), 1, _HEX)
 
 
+def _bound(value: Column, use) -> Column:
+    """`use` of a value that is worked out once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def sections(text: Column, piece_words: int = 8, section_mod: int = 4) -> Column:
     """The written-out branches of the tree: one string per section."""
     w = piece_words - 1
@@ -49,7 +54,7 @@ def seal(text: Column, branches: Column) -> Column:
 
 
 def fingerprint(text: Column, piece_words: int = 8, section_mod: int = 4) -> Column:
-    return seal(text, sections(text, piece_words, section_mod))
+    return _bound(sections(text, piece_words, section_mod), lambda branches: seal(text, branches))
 
 
 def leaves(print_: Column) -> Column:
@@ -83,19 +88,24 @@ def edits(a: Column, b: Column) -> Column:
     body = lambda x: F.split(F.substring_index(x, "/", -1), ";")
     paragraphs = lambda s: F.split(F.substring_index(s, ":", -1), ",")
     leaf_digests = lambda p: F.split(F.substring(p, _HEX + 2, 1 << 30), r"\.")
-    mine, theirs = body(a), body(b)
-    changed = F.filter(_numbered(mine), lambda s: ~F.array_contains(theirs, s["p"]))
-    their_lines = F.flatten(F.transform(F.array_except(theirs, mine), paragraphs))
-    my_lines = F.flatten(F.transform(changed, lambda s: F.transform(_numbered(paragraphs(s["p"])), lambda q: F.struct(s["i"].alias("section"), q["i"].alias("paragraph"), q["p"].alias("p")))))
-    lines = F.filter(my_lines, lambda q: ~F.array_contains(their_lines, q["p"]))
-    their_leaves = F.flatten(F.transform(F.array_except(their_lines, F.transform(my_lines, lambda q: q["p"])), leaf_digests))
-
-    def of_line(q: Column) -> Column:
+
+    def in_sections(v: Column) -> Column:
+        changed = F.filter(_numbered(v["mine"]), lambda s: ~F.array_contains(v["theirs"], s["p"]))
+        own = F.transform(changed, lambda s: F.transform(_numbered(paragraphs(s["p"])), lambda q: F.struct(s["i"].alias("section"), q["i"].alias("paragraph"), q["p"].alias("p"))))
+        others = F.transform(F.array_except(v["theirs"], v["mine"]), paragraphs)
+        return _bound(F.struct(F.flatten(own).alias("mine"), F.flatten(others).alias("theirs")), in_lines)
+
+    def in_lines(v: Column) -> Column:
+        lines = F.filter(v["mine"], lambda q: ~F.array_contains(v["theirs"], q["p"]))
+        known = F.flatten(F.transform(F.array_except(v["theirs"], F.transform(v["mine"], lambda q: q["p"])), leaf_digests))
+        return _bound(known, lambda k: F.flatten(F.transform(lines, lambda q: of_line(q, k))))
+
+    def of_line(q: Column, known: Column) -> Column:
         place = lambda leaf: F.struct(q["section"].alias("section"), q["paragraph"].alias("paragraph"), leaf.alias("leaf"))
-        new = F.filter(_numbered(leaf_digests(q["p"])), lambda x: ~F.array_contains(their_leaves, x["p"]))
-        return F.when(F.size(new) > 0, F.transform(new, lambda x: place(x["i"]))).otherwise(F.array(place(F.lit(-1))))
+        new = F.filter(_numbered(leaf_digests(q["p"])), lambda x: ~F.array_contains(known, x["p"]))
+        return _bound(new, lambda n: F.when(F.size(n) > 0, F.transform(n, lambda x: place(x["i"]))).otherwise(F.array(place(F.lit(-1)))))
 
-    return F.flatten(F.transform(lines, of_line))
+    return _bound(F.struct(body(a).alias("mine"), body(b).alias("theirs")), in_sections)
 
 
 def with_next(rows: DataFrame, made: dict[str, Column], wanted: list[str], wide: int | None = None, most: int = 64) -> DataFrame:
@@ -139,7 +149,7 @@ def with_next(rows: DataFrame, made: dict[str, Column], wanted: list[str], wide:
 def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, which ends in the start of the next document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    made = {"fingerprint": seal(F.col("text"), sections(F.col("text")))}
+    made = {"fingerprint": fingerprint(F.col("text"))}
     rows = with_next(rows, made, ["text", "fingerprint"])
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("_cut", F.floor(F.col("n_chars") / 3).cast("int"))
     kept = F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("_cut"))
