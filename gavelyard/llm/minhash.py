@@ -199,9 +199,16 @@ def _salted(members: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
 
 
 def _roles(members: DataFrame, resident: Column) -> DataFrame:
-    """(pivot, salt, role, cid, component): residents in one block each (role 0), everybody once through all (role 1)."""
-    stay = members.where(resident).select("pivot", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int").alias("salt"), F.lit(0).alias("role"), "cid", "component")
-    return stay.union(members.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(1).alias("role"), "cid", "component"))
+    """(pivot, salt, role, cid, component): each resident in one block (role 0), everybody once past every block (role 1).
+
+    Those who pass a block are divided into `lanes`, each with a copy of the block's residents, so no task gets more
+    than a block and a lane.
+    """
+    lane, block = F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own = lambda seed, of: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(of)).cast("int")
+    salt = (F.col("block") * F.col("lanes") + F.col("lane")).cast("int").alias("salt")
+    stay = members.where(resident).withColumn("block", own(1, "blocks")).withColumn("lane", lane).select("pivot", salt, F.lit(0).alias("role"), "cid", "component")
+    return stay.union(members.withColumn("lane", own(2, "lanes")).withColumn("block", block).select("pivot", salt, F.lit(1).alias("role"), "cid", "component"))
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,14 +261,14 @@ def _link(docs: DataFrame, mates: DataFrame, width: int, percent: int, block: in
         return labels
     sizes = family.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("k"))
     whole = sizes.groupBy("pivot").agg(F.sum("k").alias("all"), F.max(F.struct("k", "component")).alias("top"))
-    whole = keep(whole.select("pivot", F.col("top.component").alias("largest"), F.ceil((F.col("all") - F.col("top.k")) / block).cast("int").alias("blocks")).where("blocks > 0"), "sizes")
+    whole = keep(whole.select("pivot", F.col("top.component").alias("largest"), F.ceil((F.col("all") - F.col("top.k")) / block).cast("int").alias("blocks"), F.ceil(F.col("all") / block).cast("int").alias("lanes")).where("blocks > 0"), "sizes")
     few = _salted(family, whole.where(F.col("blocks") <= most_blocks), "pivot")
     rows = _roles(few, F.col("component") != F.col("largest"))
     many = whole.where(F.col("blocks") > most_blocks)
     if not many.isEmpty():
         rare = keep(_rare_shingles(_salted(family, many, "pivot").select("pivot", "cid", "component"), sets, percent), "rare-shingles")
         meeting = rare.groupBy("pivot").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-        meeting = meeting.select("pivot", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+        meeting = meeting.select("pivot", *[F.ceil(F.col("k") / block).cast("int").alias(c) for c in ("blocks", "lanes")])
         rows = rows.union(_roles(_salted(rare, meeting, "pivot"), F.lit(True)))
     rows = rows.join(sets, "cid").select("pivot", "salt", "role", "cid", "component", "elements")
     dealt = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role")
