@@ -68,6 +68,13 @@ def parse_money(c: Column) -> Column:
     return F.when(s.rlike(f"^{X.MONEY_BARE}$"), s.try_cast("double")).when(whole != "", F.concat(whole, F.lit("."), cents).try_cast("double"))
 
 
+def _amount(written: Column) -> Column:
+    """The first number of a text as an amount; null without one."""
+    whole_ = F.regexp_replace(F.regexp_extract(written, X.MONEY_NUMBER, 1), "[ .\u00a0]", "")
+    cents = F.regexp_extract(written, X.MONEY_NUMBER, 2)
+    return F.concat(whole_, F.lit("."), F.when(cents == "", "0").otherwise(cents)).try_cast("double")
+
+
 def _next_end(n: int):
     """Appends the end of the next occurrence of a label of n characters."""
     return lambda ends, part: F.concat(ends, F.array(F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)) + F.length(part) + n))
@@ -80,7 +87,9 @@ def find_money_after(text: Column, *labels: str, window: int = 160) -> Column:
         parts = F.split(F.lower(text), rf"\Q{label.lower()}\E", -1)
         nothing = F.array().cast("array<int>")
         ends = F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), nothing, _next_end(len(label)))
-        amounts = F.transform(ends, lambda e: parse_money(F.nullif(F.regexp_extract(F.substring(text, e + 1, F.lit(window)), f"(?iuU){X.MONEY_CURRENCY}", 0), F.lit(""))))
+        # the number before a euro sign is cut out once, and its parts are read from that
+        near = F.transform(ends, lambda e: F.regexp_extract(F.substring(text, e + 1, F.lit(window)), f"(?iuU){X.MONEY_CURRENCY}", 1))
+        amounts = F.transform(F.filter(near, lambda g: g != ""), _amount)
         tries.append(F.try_element_at(F.filter(amounts, lambda v: v > 0), F.lit(1)))
     return F.coalesce(*tries)
 

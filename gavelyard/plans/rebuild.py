@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -29,17 +32,28 @@ def in_order(notices: DataFrame) -> DataFrame:
     return serve.placed(notices, *fold_order_columns())
 
 
+def _merged(now: str, block: int, bodies: list[str]) -> Iterator[tuple[int, str, str]]:
+    """(block, kind, JSON) of the auctions and assignments of one block's notices."""
+    ledger = Ledger(now)
+    results = []
+    for n in sorted(map(json.loads, bodies), key=fold_order):
+        result = ledger.ingest(n)
+        known = ledger.notices[n["source"], n["source_id"]]
+        row = {"source": n["source"], "source_id": n["source_id"], "result": result, "content_hash": known["content_hash"], "group_key": known["group_key"], "first_seen": known["first_seen"]}
+        results.append(row | {"case_key": n.get("case_key")})
+    for kind, rows in (("auction", ledger.auctions.values()), ("notice", results)):
+        for row in rows:
+            yield block, kind, json.dumps(row, ensure_ascii=False)
+
+
 def _fold(now: str):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ledger = Ledger(now)
-        results = []
-        for n in sorted(map(json.loads, rows["body"]), key=fold_order):
-            result = ledger.ingest(n)
-            known = ledger.notices[n["source"], n["source_id"]]
-            row = {"source": n["source"], "source_id": n["source_id"], "result": result, "content_hash": known["content_hash"], "group_key": known["group_key"], "first_seen": known["first_seen"]}
-            results.append(row | {"case_key": n.get("case_key")})
-        out = [("auction", a) for a in ledger.auctions.values()] + [("notice", r) for r in results]
-        return pd.DataFrame({"block": rows["block"].iloc[0], "kind": [k for k, _ in out], "body": [json.dumps(v, ensure_ascii=False) for _, v in out]})
+    """Rows (block, body) come sorted by block; each block is merged as soon as the next one begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((b, x) for batch in batches for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        merged = (row for block, own in groupby(rows, key=itemgetter(0)) for row in _merged(now, block, [x for _, x in own]))
+        while some := list(islice(merged, 2000)):
+            yield pa.record_batch([pa.array(c) for c in zip(*some, strict=True)], ["block", "kind", "body"])
 
     return run
 
@@ -53,7 +67,8 @@ def fold(notices: DataFrame, now: str, blocks: DataFrame | None = None) -> tuple
     blocks = resolve.blocks(notices) if blocks is None else blocks
     body = F.to_json(F.struct(*[c for c in notices.columns if not c.startswith("_")]))
     rows = notices.withColumn("body", body).select("source", "source_id", "body").join(blocks, ["source", "source_id"]).select("block", "body")
-    out = resolve.cut(rows.groupBy("block").applyInPandas(_fold(now), "block long, kind string, body string"))
+    dealt = rows.repartition("block").sortWithinPartitions("block")
+    out = resolve.cut(dealt.mapInArrow(_fold(now), "block long, kind string, body string"))
     read = lambda kind, ddl: out.where(F.col("kind") == kind).select("block", F.from_json("body", S.struct(ddl)).alias("r")).select("r.*", "block")
     return read("auction", S.AUCTION), read("notice", S.ASSIGNMENT)
 

@@ -49,7 +49,7 @@ def order_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
         return o.where(key % every == 0).select(
             source.alias("source"), F.concat(number, F.lit(suffix)).alias("source_id"), F.lit("dobrovolna").alias("kind"), F.lit(kind).alias("notice_type"),
-            F.date_add("day", published).cast("string").alias("published_at"), F.concat(F.lit("Kladivko "), "o_custkey").alias("auctioneer_name"), F.lpad(F.col("o_custkey").cast("string"), 8, "1").alias("auctioneer_ico"),
+            F.date_add("day", published).cast("string").alias("published_at"), F.concat(F.lit("Kladivko "), "o_custkey").alias("auctioneer_name"), F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("auctioneer_ico"),
             F.concat(source, F.lit(" "), number, F.lit(suffix)).alias("source_label"), F.lit("u").alias("source_url"), *[c.alias(n) for n, c in (blank | given).items()],
         )
 
@@ -177,7 +177,7 @@ def event_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when((F.col("event_type") == "click") & (F.col("event_id") % 2 == 0), "dodatok").otherwise(text.lookup(_EVENT_NOTICE, F.col("event_type")))
     return e.select(
         F.lit("ov").alias("source"), F.col("event_id").cast("string").alias("source_id"), F.lit("dobrovolna").alias("kind"), kind.alias("notice_type"), day.alias("published_at"), F.when(kind == "dodatok", day).alias("auction_at"),
-        F.concat(F.lit("dd|"), "user_id").alias("case_key"), F.col("user_id").cast("string").alias("auction_number"), F.concat(F.lit("Predaj "), "user_id").alias("auctioneer_name"), F.lpad(F.col("user_id").cast("string"), 8, "2").alias("auctioneer_ico"),
+        F.concat(F.lit("dd|"), "user_id").alias("case_key"), F.col("user_id").cast("string").alias("auction_number"), F.concat(F.lit("Predaj "), "user_id").alias("auctioneer_name"), F.lpad(F.col("user_id").cast("string"), 8, "0").alias("auctioneer_ico"),
         F.col("value").alias("min_bid"), F.when(kind == "vysledok", F.col("value")).alias("highest_bid"), F.col("event_type").alias("source_label"), F.lit("u").alias("source_url"),
     )
 
