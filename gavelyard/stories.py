@@ -319,7 +319,10 @@ def auctions_located(spark, sf_dir):
     # of the located-before ones no parcel is known
     known = o.where((key % 3 == 0) & ~before).select(F.concat(F.lit("U1_"), key, F.lit(".C")).alias("ref"), F.lit(48.5).alias("lat"), F.lit(18.0).alias("lng"), outline.alias("geom"))
     done = rebuild.with_places(auctions, units, known)
-    return done.select(F.col("group_key").cast("long").alias("o_orderkey"), "lat", "geo_precision", F.col("properties")[1]["lat"].alias("second_lat"))
+    # decimals like the SQL's literals; a point between two of them becomes null, not rounded
+    exact = lambda v, kind: F.when(v == v.cast(kind), v.cast(kind))
+    second = exact(F.col("properties")[1]["lat"], "decimal(3,1)").alias("second_lat")
+    return done.select(F.col("group_key").cast("long").alias("o_orderkey"), exact(F.col("lat"), "decimal(4,2)").alias("lat"), "geo_precision", second)
 
 
 @query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_min(xs) END AS west, CASE WHEN vec_id % 3 = 0 THEN list_max(ys) END AS north, CASE WHEN vec_id % 3 = 1 THEN 17.5 END AS lng, CASE WHEN vec_id % 3 = 1 THEN CASE WHEN vec_id % 2 = 0 THEN 12 ELSE 11 END END AS zoom
