@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, codes, merkle, minhash, oracles, packing, pieces, ranker, rules, substring, toxicity
+from . import chat, codes, merkle, minhash, oracles, packing, pieces, ranker, rules, simhash, spelling, substring, toxicity, whitening
 from .storage import shared_folder
 
 
@@ -65,6 +65,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_minhash, op2_toxicity, op3_quality_rules, op4_fingerprints, op5_packing, op6_quality_classifier, op7_substring_dedup, op8_pieces, op9_token_ids, op10_chat, pipeline)
+    ops = (op1_minhash, op2_toxicity, op3_quality_rules, op4_fingerprints, op5_packing, op6_quality_classifier, op7_substring_dedup, op8_pieces, op9_token_ids, op10_chat, op11_whitening, op12_simhash, op13_spelling, pipeline)
     return {f.__name__: f for f in ops}
 
 
