@@ -127,10 +127,10 @@ def sync(tables: dict[str, DataFrame], url: str, properties: dict[str, str] | No
 
 
 # -- verbs -------------------------------------------------------------------------------------------------------
-def take_filings(spark: SparkSession, store: str, landing: str, now: str, since: str | None = None) -> dict[str, int]:
-    """Filings that changed since the cursor: kept raw, parsed, and merged into the store; the run is logged."""
+def take_filings(spark: SparkSession, store: str, landing: str | None, now: str, since: str | None = None, pages: str | None = None) -> dict[str, int]:
+    """Filings that changed since the cursor, from a landing zone or a feed's `pages`: kept raw, parsed, and merged into the store; the run is logged."""
     start = cursor(spark, store, now, since)
-    items = rebuild.resolve.cut(read.landing(spark, landing, start))
+    items = rebuild.resolve.cut(read.feed_items(spark, pages, start) if pages else read.landing(spark, landing, start))
     wanted = items.where(read.is_auction(F.col("file_name")) & (F.col("content") != ""))
     append(wanted.select(*[f.name for f in S.struct(S.RAW_ITEM).fields]), store, "raw")
     return _take(spark, store, "ov", read.notices(items), items.count(), now, last_change(items, start))
@@ -170,7 +170,7 @@ def main(arguments: list[str] | None = None) -> int:
     verbs = p.add_subparsers(dest="verb", required=True)
     for verb in ("ov", "ncrd", "geocode", "export", "notify", "stats", "daily", "pgsync", "reparse", "rebuild", "search-add"):
         v = verbs.add_parser(verb)
-        for option in ("--landing", "--pages", "--since", "--units", "--parcels", "--out", "--site", "--url", "--email", "--filters", "--name", "--now"):
+        for option in ("--landing", "--feed", "--pages", "--since", "--units", "--parcels", "--out", "--site", "--url", "--email", "--filters", "--name", "--now"):
             v.add_argument(option)
         v.add_argument("--redo", action="store_true")
         v.add_argument("--normalize-register", action="store_true")
@@ -223,7 +223,7 @@ def run_verb(spark: SparkSession, a: argparse.Namespace, now: str) -> tuple[obje
         return {r["result"]: r["n"] for r in rebuild.run_counts(assigned).collect()}
 
     steps = {
-        "ov": lambda: take_filings(spark, a.store, a.landing, now, a.since), "ncrd": lambda: take_register(spark, a.store, a.pages, now), "geocode": geocode, "export": export, "notify": alerts,
+        "ov": lambda: take_filings(spark, a.store, a.landing, now, a.since, a.feed), "ncrd": lambda: take_register(spark, a.store, a.pages, now), "geocode": geocode, "export": export, "notify": alerts,
         "pgsync": lambda: sync(sync_tables(spark, a.store, *held()), a.url) if a.url else {"skipped": True},
     }
     if a.verb == "daily":

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..operators import serve
-from . import parse
+from . import feed, parse
 
 ITEM = "id long, file_name string, content string, created_at string, updated_at string, bulletin_issue struct<year:int,number:int,published_at:string>"
 
@@ -28,6 +28,23 @@ def landing(spark: SparkSession, path: str, since: str | None = None) -> DataFra
     return with_source(items if since is None else items.where(F.coalesce("updated_at", "created_at") >= (since if len(since) > 10 else f"{since}T00:00:00Z")))
 
 
+def feed_items(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """Items of a feed's pages, changed from `since` on."""
+    return with_source(feed.register(spark).read.format(feed.Feed.name()).options(path=path, since=since or "").load().drop("page"))
+
+
+def feed_stream(spark: SparkSession, path: str, since: str = "", pages: int = feed.PAGES, cursor: str | None = None) -> DataFrame:
+    """The same as a stream of `pages` pages a batch, whose offset is the last page and change."""
+    options = {"path": path, "since": since, "pages": pages} | ({"cursor": cursor} if cursor else {})
+    return with_source(feed.register(spark).readStream.format(feed.Feed.name()).options(**options).load().drop("page"))
+
+
+def register_days(spark: SparkSession, path: str, days: Column | None = None) -> DataFrame:
+    """Listing rows (act_id, row) of a register's days, each act once; a condition on `day` decides which days are opened."""
+    rows = feed.register(spark).read.format(feed.Days.name()).option("path", path).load()
+    return (rows if days is None else rows.where(days)).dropDuplicates(["act_id"])
+
+
 def landing_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     return with_source(spark.readStream.schema(ITEM).option("maxFilesPerTrigger", files_per_trigger).json(path))
 
