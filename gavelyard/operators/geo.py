@@ -116,3 +116,22 @@ def clusters(points: DataFrame, zoom: int, radius: int = X.CLUSTER_RADIUS) -> Da
     cells = points.where("lat is not null and lng is not null").groupBy(F.floor(x / cell).alias("cell_x"), F.floor(y / cell).alias("cell_y"))
     size = F.when(F.col("n") < X.CLUSTER_SIZES[0], 0).when(F.col("n") < X.CLUSTER_SIZES[1], 1).when(F.col("n") < X.CLUSTER_SIZES[2], 2).otherwise(3)
     return cells.agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng")).withColumn("size", size)
+
+
+def pyramid(points: DataFrame, zooms: range = range(X.CLUSTER_MOST_ZOOM + 1), radius: int = X.CLUSTER_RADIUS) -> DataFrame:
+    """The cells of `clusters` at all zooms: zoom, cell_x, cell_y, n, lat, lng, size.
+
+    A cell of one zoom is four of the next, so points are read and counted once, in the cells of the last zoom; those of all
+    coarser zooms are sums of these. Points without a place are left out; positions are means over a cell's points.
+    """
+    last = max(zooms)
+    world = 256 * 2**last
+    x = (F.col("lng") + 180) / 360 * world
+    y = (1 - F.log(F.tan(F.radians("lat")) + 1 / F.cos(F.radians("lat"))) / F.pi()) / 2 * world
+    finest = points.where("lat is not null and lng is not null").groupBy(F.floor(x / radius).alias("x"), F.floor(y / radius).alias("y"))
+    finest = finest.agg(F.count(F.lit(1)).alias("k"), F.sum("lat").alias("lats"), F.sum("lng").alias("lngs"))
+    each = finest.withColumn("zoom", F.explode(F.array(*map(F.lit, sorted(zooms)))))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), last - F.col("zoom")))
+    cells = each.groupBy("zoom", up("x").alias("cell_x"), up("y").alias("cell_y")).agg(F.sum("k").alias("n"), (F.sum("lats") / F.sum("k")).alias("lat"), (F.sum("lngs") / F.sum("k")).alias("lng"))
+    few, some, many = X.CLUSTER_SIZES
+    return cells.withColumn("size", F.when(F.col("n") < few, 0).when(F.col("n") < some, 1).when(F.col("n") < many, 2).otherwise(3))

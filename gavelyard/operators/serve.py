@@ -140,25 +140,47 @@ def alert_predicate(a: str, f: str, today: Column) -> Column:
     )
 
 
+#: What searches are found by: (field of a search, is it a list?, column of an auction).
+_INDEXED = (("kraj", False, "kraj"), ("okres", False, "okres"), ("types", True, "property_type"), ("kinds", True, "kind"))
+_ANY = "*"
+#: Tasks among which the auctions of a search without any of these fields are divided.
+_WILD_PARTS = 16
+
+
+def _search_keys(searches: DataFrame) -> DataFrame:
+    """`searches` once per key that an auction it may match must have: one value, or any, for every indexed field."""
+    wanted = lambda c, many: F.transform(F.col(c), lambda v: F.concat(F.lit("="), v)) if many else F.array(F.concat(F.lit("="), F.nullif(c, F.lit(""))))
+    given = lambda c, many: F.coalesce(F.size(c) > 0, F.lit(False)) if many else F.coalesce(F.col(c), F.lit("")) != ""
+    keyed = searches
+    for c, many, _ in _INDEXED:
+        values = F.when(given(c, many), F.array_compact(F.array_distinct(wanted(c, many)))).otherwise(F.array(F.lit(_ANY)))
+        keyed = keyed.withColumn(f"_{c}", F.explode(values))
+    return keyed.withColumn("_key", F.concat_ws("\u0001", *[f"_{c}" for c, _, _ in _INDEXED])).drop(*[f"_{c}" for c, _, _ in _INDEXED])
+
+
 def alerts(auctions: DataFrame, searches: DataFrame, sent: DataFrame, today: Column) -> DataFrame:
     """(search_id, group_key): matches first seen after a search's last notice and not yet sent for it.
 
-    Searches meet auctions in a nested loop over broadcast searches: their number is checked, and a larger table
-    is joined the same way in parts of `MOST_SEARCHES`.
+    Searches are indexed by region, district, type and kind, each a value or any: an auction has one key for each choice of
+    fields that some search makes (16 choices at most), so it meets only searches that share a key, by an equi-join. Searches
+    without any of these fields have one key in common; their auctions are divided among several tasks.
     """
-    live = searches.where("active")
-    parts = max(1, -(-live.count() // MOST_SEARCHES))
-    out = None
-    for k in range(parts):
-        some = live if parts == 1 else live.where(F.pmod(F.xxhash64("search_id"), F.lit(parts)) == k)
-        test = (F.col("a.first_seen") > F.coalesce(F.col("f.last_notified_at"), F.col("f.created_at"))) & alert_predicate("a", "f", today)
-        hit = auctions.alias("a").join(F.broadcast(some).alias("f"), test).select("f.search_id", "a.group_key")
-        out = hit if out is None else out.union(hit)
-    return out.join(sent.select("search_id", "group_key"), ["search_id", "group_key"], "left_anti")
-
-
-#: Stored searches of one broadcast; a row is under 1 kB, so 20 MB at most.
-MOST_SEARCHES = 20_000
+    live = _search_keys(searches.where("active"))
+    own = {c: F.concat(F.lit("="), F.coalesce(F.nullif(col, F.lit("")), F.lit("ine")) if c == "types" else F.col(col)) for c, _, col in _INDEXED}
+    uses = F.transform(F.split("_key", "\u0001"), lambda part: part != _ANY)
+    shapes = [r["u"] for r in live.select(uses.alias("u")).distinct().collect()]  # at most 2 ** len(_INDEXED)
+    if not shapes:
+        return auctions.join(searches, F.lit(False)).select("search_id", "group_key")
+    wild = "\u0001".join([_ANY] * len(_INDEXED))
+    keys = F.array(*[F.concat_ws("\u0001", *[F.coalesce(own[c], F.lit("!")) if used else F.lit(_ANY) for used, (c, _, _) in zip(shape, _INDEXED, strict=True)]) for shape in shapes])
+    part = F.when(F.col("_key") == wild, F.pmod(F.xxhash64("group_key"), F.lit(_WILD_PARTS))).otherwise(F.lit(0))
+    active = auctions.where(effective_status(F.col("status"), F.col("auction_at"), today).isin(*X.ACTIVE_STATUSES))
+    asked = active.withColumn("_key", F.explode(keys)).withColumn("_part", part)
+    parts = F.when(F.col("_key") == wild, F.sequence(F.lit(0), F.lit(_WILD_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    offered = live.withColumn("_part", F.explode(parts)).withColumn("_part", F.col("_part").cast("long"))
+    test = (F.col("a.first_seen") > F.coalesce(F.col("f.last_notified_at"), F.col("f.created_at"))) & alert_predicate("a", "f", today)
+    hit = asked.alias("a").join(offered.alias("f"), ["_key", "_part"]).where(test).select("f.search_id", "a.group_key")
+    return hit.join(sent.select("search_id", "group_key"), ["search_id", "group_key"], "left_anti")
 
 
 def render_alerts(hits: DataFrame, auctions: DataFrame, searches: DataFrame, site: str) -> DataFrame:

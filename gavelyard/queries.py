@@ -450,4 +450,4 @@ def map_features(spark, sf_dir):
     return f.select("id", read_back["properties"]["past"].alias("past"), read_back["geometry"]["coordinates"][0].alias("lng"))
 
 
-from . import stories  # noqa: E402, F401  its queries register themselves
+from . import linkage, stories  # noqa: E402, F401  their queries register themselves
