@@ -121,11 +121,11 @@ def stored_payloads(spark, sf_dir):
 
 
 # -- the map -----------------------------------------------------------------------------------------------------
-@query(f"""SELECT CAST(z AS INT) AS zoom, CAST(floor((lng + 180) / 360 * 256 * power(2, z) / 45) AS BIGINT) AS cell_x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 256 * power(2, z) / 45) AS BIGINT) AS cell_y, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng,
+@query(f"""SELECT CAST(z AS INT) AS zoom, CAST(floor((lng + 180) / 360 * 256 * power(2, z) / 45) AS BIGINT) AS cell_x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 256 * power(2, z) / 45) AS BIGINT) AS cell_y, count(*) AS n, round(avg(lat) + 0.000000033, 6) AS lat, round(avg(lng) + 0.000000033, 6) AS lng,
   CASE WHEN count(*) < 10 THEN 0 WHEN count(*) < 50 THEN 1 WHEN count(*) < 200 THEN 2 ELSE 3 END AS size FROM ({ITEMS_SQL}), range(0, {X.CLUSTER_MOST_ZOOM + 1}) r(z) WHERE lat IS NOT NULL GROUP BY 1, 2, 3""")
 def zoom_pyramid(spark, sf_dir):
-    """Clusters of the map at every zoom, in one query."""
-    return geo.pyramid(items(spark, sf_dir)).withColumns({"lat": F.round("lat", 6), "lng": F.round("lng", 6)})
+    """Clusters of the map at every zoom, in one query; means are moved off the halves that rounding would decide by the order of summing."""
+    return geo.pyramid(items(spark, sf_dir)).withColumns({c: F.round(F.col(c) + 0.000000033, 6) for c in ("lat", "lng")})
 
 
 # -- small things that had no row of their own -------------------------------------------------------------------

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from .. import fixed as X
 from ..functions.text import executor_key, norm_key
-from .resolve import contained_names
+from .resolve import contained_names, cut
 
 #: Days of one period: a round and the next are in one, or in neighbouring ones.
 PERIOD = X.ROUND_GAP_DAYS[1]
@@ -67,31 +67,35 @@ def same_auctioneer(a: str, n: str) -> Column:
 
 
 def agreeing(auctions: DataFrame, notices: DataFrame) -> DataFrame:
-    """(who, their): the distinct auctioneers of notices (`who`) with those of auctions that agree with them (`their`)."""
-    distinct = lambda df: df.select("who", *_WHO).distinct()
-    sides = {"a": distinct(auctions), "n": distinct(notices)}
+    """(who, their): the distinct auctioneers of notices (`who`) with those of auctions that agree with them (`their`).
+
+    Numbers meet numbers; names are looked at only where a side has no number, so one name under many numbers makes no pairs.
+    """
+    bare = F.coalesce("auctioneer_ico", F.lit("")) == ""
+    theirs, ours = (cut(df.select("who", *_WHO).distinct().withColumns({"bare": bare, "name": norm_key(F.col("auctioneer_name"))})) for df in (auctions, notices))
+    theirs = theirs.withColumnRenamed("who", "their")
+    numbered = theirs.where(~F.col("bare")).select("their", "auctioneer_ico").join(ours.where(~F.col("bare")).select("who", "auctioneer_ico"), "auctioneer_ico").select("their", "who")
 
     def keyed(df: DataFrame) -> DataFrame:
-        key = lambda kind, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{kind}|"), c))
+        named = F.when(F.col("name") != "", F.concat(F.lit("m|"), "name"))
         executor = F.when(F.col("auctioneer_name").isNotNull(), F.concat(F.lit("x|"), executor_key(F.col("auctioneer_name"))))
-        keys = F.array_compact(F.array(key("n", F.col("auctioneer_ico")), key("m", norm_key(F.col("auctioneer_name"))), executor))
-        return df.withColumn("k", F.explode(keys))
-
-    direct = keyed(sides["a"]).select("k", F.col("who").alias("their")).join(keyed(sides["n"]).select("k", "who"), "k").select("their", "who")
-    names = {s: df.select("who", norm_key(F.col("auctioneer_name")).alias("name")) for s, df in sides.items()}
-    inside = contained_names(names["a"].union(names["n"]).select("name").distinct())
-    theirs, ours = names["a"].withColumnRenamed("who", "their"), names["n"]
-    pairs = direct
-    for short, long in (("a", "b"), ("b", "a")):  # either name may be the longer one
-        pairs = pairs.union(inside.join(theirs.withColumnRenamed("name", short), short).join(ours.withColumnRenamed("name", long), long).select("their", "who"))
-    sided = pairs.distinct().join(sides["a"].withColumnRenamed("who", "their").alias("a"), "their").join(sides["n"].alias("n"), "who")
+        return df.withColumn("k", F.explode(F.array_compact(F.array(named, executor))))
+
+    inside = cut(contained_names(theirs.select("name").union(ours.select("name")).distinct()))
+    pairs = numbered
+    for left, right in ((theirs.where("bare"), ours), (theirs.where("not bare"), ours.where("bare"))):
+        met = keyed(left).select("their", "k").join(keyed(right).select("who", "k"), "k").select("their", "who")
+        for short, long in (("a", "b"), ("b", "a")):  # either name may be the longer one
+            met = met.union(inside.join(left.select("their", F.col("name").alias(short)), short).join(right.select("who", F.col("name").alias(long)), long).select("their", "who"))
+        pairs = pairs.union(met)
+    sided = pairs.distinct().join(theirs.alias("a"), "their").join(ours.alias("n"), "who")
     return sided.where(same_auctioneer("a", "n")).select("who", "their")
 
 
 def _sides(notices: DataFrame, auctions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Notices with the auctioneers (`their`) that agree with their own, and auctions with theirs."""
     told, held = _who(notices), _who(auctions)
-    return told.join(agreeing(held, told), "who"), held.withColumnRenamed("who", "their")
+    return told.join(cut(agreeing(held, told)), "who"), held.withColumnRenamed("who", "their")
 
 
 # -- another source ----------------------------------------------------------------------------------------------

@@ -9,10 +9,11 @@ A store is a folder: the incremental tables of `streaming.ingest`, and append-on
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from .. import schema as S
 from ..operators import serve
@@ -116,48 +117,98 @@ def sync_tables(spark: SparkSession, store: str, notices: DataFrame, auctions: D
     }
 
 
+#: Tables in an order in which each refers only to ones before it, with their keys.
+KEYS = {"auctions": ("group_key",), "notices": ("source", "source_id"), "properties": ("group_key", "idx"), "auction_history": ("group_key", "seq"), "scrape_runs": ("run",)}
+#: Characters of a text that is part of a key.
+KEY_LENGTH = 700
+
+
+def _merge_sql(name: str, columns: list[str], key: tuple[str, ...]) -> str:
+    q = lambda c: f'"{c}"'
+    on = " AND ".join(f"t.{q(c)} = s.{q(c)}" for c in key)
+    rest = [c for c in columns if c not in key]
+    update = f" WHEN MATCHED THEN UPDATE SET {', '.join(f'{q(c)} = s.{q(c)}' for c in rest)}" if rest else ""
+    return f"MERGE INTO {name} t USING {name}_staging s ON {on}{update} WHEN NOT MATCHED THEN INSERT ({', '.join(map(q, columns))}) VALUES ({', '.join(f's.{q(c)}' for c in columns)})"
+
+
 def sync(tables: dict[str, DataFrame], url: str, properties: dict[str, str] | None = None, connections: int = 8) -> dict[str, int]:
-    """Replace the tables of a database over JDBC, keeping their definitions; a few connections, whatever the partitions."""
-    out = {}
+    """Bring a database up to date over JDBC: rows are updated or added by key, and rows that are only there stay.
+
+    Every table is loaded beside the real one, by a few connections whatever the partitions. When all are loaded, the
+    database merges them in one transaction, tables that others refer to first. A run that fails at any point leaves
+    the real tables as they were, and the next one starts over.
+    """
+    properties = properties or {}
+    out: dict[str, int] = {}
     for name, df in tables.items():
-        kept = rebuild.resolve.cut(df)
-        out[name] = kept.count()
-        kept.coalesce(connections).write.option("truncate", "true").jdbc(url, name, "overwrite", properties or {})
+        kinds = dict(df.dtypes)
+        texts = ", ".join(f"{c} VARCHAR({KEY_LENGTH})" for c in KEYS[name] if kinds[c] == "string")
+        counted = Observation()
+        rows = df.observe(counted, F.count(F.lit(1)).alias("n")).coalesce(connections)
+        write = lambda frame, to, mode: frame.write.options(**{"createTableColumnTypes": texts} if texts else {}).jdbc(url, to, mode, properties)  # noqa: B023, E731
+        write(rows, f"{name}_staging", "overwrite")
+        write(df.limit(0), name, "append")  # makes the table where there is none
+        out[name] = counted.get["n"]
+    spark = next(iter(tables.values())).sparkSession
+    with _connected(spark, url, properties) as connection:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        try:
+            for name in (n for n in KEYS if n in tables):
+                statement.executeUpdate(_merge_sql(name, tables[name].columns, KEYS[name]))
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        for name in tables:
+            statement.executeUpdate(f"DROP TABLE {name}_staging")
+        connection.commit()
     return out
 
 
+@contextlib.contextmanager
+def _connected(spark: SparkSession, url: str, properties: dict[str, str]):
+    """A connection of the driver's own to a database."""
+    jvm = spark._jvm
+    if "driver" in properties:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(properties["driver"])
+    given = jvm.java.util.Properties()
+    for k, v in properties.items():
+        given.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        yield connection
+    finally:
+        connection.close()
+
+
 # -- verbs -------------------------------------------------------------------------------------------------------
 def take_filings(spark: SparkSession, store: str, landing: str | None, now: str, since: str | None = None, pages: str | None = None) -> dict[str, int]:
     """Filings that changed since the cursor, from a landing zone or a feed's `pages`: kept raw, parsed, and merged into the store; the run is logged."""
     start = cursor(spark, store, now, since)
-    items = rebuild.resolve.cut(read.feed_items(spark, pages, start) if pages else read.landing(spark, landing, start))
+    seen = Observation()
+    items = read.feed_items(spark, pages, start) if pages else read.landing(spark, landing, start)
+    items = rebuild.resolve.cut(items.observe(seen, F.count(F.lit(1)).alias("n"), F.max(F.coalesce("updated_at", "created_at")).alias("at")))
     wanted = items.where(read.is_auction(F.col("file_name")) & (F.col("content") != ""))
     append(wanted.select(*[f.name for f in S.struct(S.RAW_ITEM).fields]), store, "raw")
-    return _take(spark, store, "ov", read.notices(items), items.count(), now, last_change(items, start))
+    return _take(spark, store, "ov", read.notices(items), seen.get["n"], now, max(seen.get["at"] or start, start))
 
 
 def take_register(spark: SparkSession, store: str, pages: str, now: str) -> dict[str, int]:
     """Register pages (act_id, row, detail, text) that the store has not: parsed and merged; the run is logged."""
     held = ingest.tables(spark, store)
     known = held[0].where("source = 'ncrd'").select(F.col("source_id").alias("act_id")) if held else None
+    seen = Observation()
     found = spark.read.schema("act_id string, row string, detail string, text string").json(pages)
-    return _take(spark, store, "ncrd", read.register_notices(found, known), found.count(), now)
+    found = rebuild.resolve.cut(found.observe(seen, F.count(F.lit(1)).alias("n")))
+    return _take(spark, store, "ncrd", read.register_notices(found, known), seen.get["n"], now)
 
 
 def _take(spark: SparkSession, store: str, source: str, notices: DataFrame, fetched: int, now: str, cursor_: str | None = None) -> dict[str, int]:
-    notices = rebuild.resolve.cut(notices)
-    before = ingest.tables(spark, store)
-    ids = ["source", "source_id"]
-    held = before[0].select(*ids).distinct() if before else notices.select(*ids).limit(0)
+    seen = Observation()
+    notices = rebuild.resolve.cut(notices.observe(seen, F.count_if(F.col("_error").isNotNull()).alias("errors")))
     number = ((ingest._current(spark, store) or {}).get(-1, -1)) + 1
-    good = notices.where("_error is null")
-    counts = {"fetched": fetched, "errors": notices.count() - good.count(), "new": good.select(*ids).distinct().join(held, ids, "left_anti").count()}
-    old = before[0].count() if before else 0
-    auctions = before[1].count() if before else 0
-    ingest.apply(notices, number, store, now)
-    after = ingest.tables(spark, store)
-    counts["changed"] = after[0].count() - old - counts["new"] if after else 0
-    counts["new_auctions"] = after[1].count() - auctions if after else 0
+    counts = {"fetched": fetched, "errors": 0, "new": 0, "changed": 0, "new_auctions": 0} | seen.get | ingest.apply(notices, number, store, now)
     if cursor_:
         set_state(spark, store, "ov:since", cursor_, now)
     log_run(spark, store, source, now, now, counts)
@@ -196,7 +247,20 @@ def run_verb(spark: SparkSession, a: argparse.Namespace, now: str) -> tuple[obje
         return serve.newest_by_key(notices, ["source", "source_id"], F.col("first_seen").desc(), F.coalesce("versioned_at", F.lit("")).desc()), auctions
 
     def geocode():
-        by = held()[1].groupBy(F.coalesce("geo_precision", F.lit("-")).alias("p")).count()
+        """Points are stored, so later verbs need no look-up tables; buckets without a new point stay as they are."""
+        got = ingest.tables(spark, a.store)
+        if got is None:
+            raise ValueError("the store is empty")
+        notices, auctions = got
+        if a.units and a.parcels:
+            located = rebuild.resolve.cut(rebuild.with_places(auctions, read.cadastral_units(spark, a.units), read.parcel_points(spark, a.parcels), a.normalize_register, a.redo))
+            moved = located.alias("n").join(auctions.alias("o"), "group_key").where("not n.properties <=> o.properties").select(ingest._bucket(F.col("n.block")).alias("b")).distinct()
+            buckets = [r["b"] for r in moved.collect()]  # at most BUCKETS
+            if buckets:
+                of = lambda df: df.where(ingest._bucket(F.col("block")).isin(buckets))
+                ingest.replace(spark, a.store, of(notices), of(located), buckets)
+            auctions = located
+        by = auctions.groupBy(F.coalesce("geo_precision", F.lit("-")).alias("p")).count()
         return {r["p"]: r["count"] for r in by.collect()}
 
     def export():
@@ -212,14 +276,20 @@ def run_verb(spark: SparkSession, a: argparse.Namespace, now: str) -> tuple[obje
         return {f"{r['measure']} {r['key']}".strip(): r["n"] for r in serve.stats(auctions, notices, day).collect()}
 
     def again(kind):
-        notices, _ = held()
+        """The store's tables anew: from all versions and their filings read again, or from the latest of each notice alone."""
+        notices, auctions = ingest.tables(spark, a.store) or held()
+        stored = notices.drop("group_key", "block")
         raw = read.raw_versions(table(spark, a.store, "raw"))
         if kind == "reparse":
-            auctions, assigned = rebuild.reparse(raw, notices.drop("group_key", "block"), now)
+            more = rebuild.resolve.cut(rebuild.read_again(raw, stored, now).select(*stored.columns))
+            made, assigned = rebuild.fold(rebuild.resolve.cut(stored.unionByName(more)), now)
+            kept = stored.unionByName(ingest._new_versions(more, stored, None))
         else:
-            made = rebuild.rebuild(read.notices(raw), notices.drop("group_key", "block"), now)
-            auctions, assigned = made["auctions"], made["assignments"]
-        auctions.write.mode("overwrite").parquet(f"{a.store}/{kind}/auctions")
+            done = rebuild.rebuild(read.notices(raw), serve.newest_by_key(stored, ["source", "source_id"], F.col("first_seen").desc(), F.coalesce("versioned_at", F.lit("")).desc()), now)
+            made, assigned, kept = done["auctions"], done["assignments"], done["notices"].select(*stored.columns)
+        where = assigned.select("source", "source_id", "group_key", "block").distinct()
+        made = rebuild.resolve.cut(rebuild.carried_over(made, auctions))
+        ingest.replace(spark, a.store, rebuild.resolve.cut(kept.join(where, ["source", "source_id"])), made)
         return {r["result"]: r["n"] for r in rebuild.run_counts(assigned).collect()}
 
     steps = {

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .. import schema as S
+from ..functions.text import norm_key
 from ..operators import geo, resolve, serve
 from ..operators.merge import Ledger
 from ..sources import read
@@ -102,9 +103,32 @@ def with_places(auctions: DataFrame, units: DataFrame, parcels: DataFrame, norma
         return p.withField("lat", take("lat")).withField("lng", take("lng")).withField("geo_source", take("geo_source"))
 
     joined = auctions.join(points, "group_key", "left").withColumn("properties", F.transform("properties", placed))
+    return rolled_up(joined).drop("_points")
+
+
+def _place_key(p: Column) -> Column:
+    """What a property is known by from one merge to the next: its unit or town, and its folios."""
+    return F.concat(norm_key(F.coalesce(F.nullif(p["ku"], F.lit("")), p["obec"])), F.lit("|"), F.array_join(F.array_sort(F.coalesce(p["lv"], F.array())), ","))
+
+
+def carried_over(auctions: DataFrame, before: DataFrame) -> DataFrame:
+    """`auctions`, merged anew, with the points that properties of the same auction, place and folios had `before`."""
+    known = before.select("group_key", F.transform(F.filter("properties", lambda p: p["lat"].isNotNull()), lambda p: F.struct(_place_key(p).alias("key"), p["lat"].alias("lat"), p["lng"].alias("lng"), p["geo_source"].alias("geo_source"))).alias("_known"))
+    known = known.where(F.size("_known") > 0)
+
+    def placed(p: Column) -> Column:
+        old = F.try_element_at(F.filter("_known", lambda k: k["key"] == _place_key(p)), F.lit(-1))
+        take = lambda c: F.when(p["lat"].isNull() & old.isNotNull(), old[c]).otherwise(p[c])
+        return p.withField("geo_source", take("geo_source")).withField("lng", take("lng")).withField("lat", take("lat"))
+
+    joined = auctions.join(known, "group_key", "left").withColumn("properties", F.transform("properties", placed))
+    return rolled_up(joined).drop("_known")
+
+
+def rolled_up(auctions: DataFrame) -> DataFrame:
+    """Auctions with the point of the first property that has one."""
     first = F.try_element_at(F.filter("properties", lambda p: p["lat"].isNotNull()), F.lit(1))
-    rolled = {"lat": F.coalesce(first["lat"], "lat"), "lng": F.coalesce(first["lng"], "lng"), "geo_precision": F.coalesce(first["geo_source"], "geo_precision")}
-    return joined.withColumns(rolled).drop("_points")
+    return auctions.withColumns({"lat": F.coalesce(first["lat"], "lat"), "lng": F.coalesce(first["lng"], "lng"), "geo_precision": F.coalesce(first["geo_source"], "geo_precision")})
 
 
 def case_counts(notices: DataFrame) -> DataFrame:
@@ -112,19 +136,22 @@ def case_counts(notices: DataFrame) -> DataFrame:
     return notices.groupBy("group_key", "source").agg(F.count_distinct("case_key").alias("cases"))
 
 
+def read_again(raw: DataFrame, stored: DataFrame, now: str) -> DataFrame:
+    """The stored filings parsed anew, as further versions of their notices."""
+    again = read.notices(raw.where("source = 'ov'")).where("_error is null").drop("_error")
+    first = stored.groupBy("source", "source_id").agg(F.min(F.coalesce("published_at", F.lit(""))).alias("_day"), F.min("first_seen").alias("_seen"))
+    again = again.join(first, ["source", "source_id"], "left")
+    # a version sorts behind its first one, on whose day it is placed
+    return again.withColumns({"published_at": F.coalesce(F.nullif("_day", F.lit("")), "published_at"), "first_seen": F.coalesce("_seen", F.lit(now)), "versioned_at": F.lit(now)}).drop("_day", "_seen")
+
+
 def reparse(raw: DataFrame, stored: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
     """(auctions, assignments) after reading all stored filings again with the present parser.
 
     Stored notices go first, then their filings as further versions in the order of their ids: a changed one keeps its
     auction and first day of publication, and its properties replace the old ones even where they say less.
     """
-    again = read.notices(raw.where("source = 'ov'")).where("_error is null").drop("_error")
-    first = stored.select("source", "source_id", F.coalesce("published_at", F.lit("")).alias("_day"), F.col("first_seen").alias("_seen"))
-    again = again.join(first, ["source", "source_id"], "left")
-    # a version sorts behind its first one, on whose day it is placed
-    again = again.withColumns({"published_at": F.coalesce(F.nullif("_day", F.lit("")), "published_at"), "first_seen": F.coalesce("_seen", F.lit(now)), "versioned_at": F.lit(now)}).drop("_day", "_seen")
-    notices = resolve.cut(stored.unionByName(again, allowMissingColumns=True))
-    return fold(notices, now)
+    return fold(resolve.cut(stored.unionByName(read_again(raw, stored, now), allowMissingColumns=True)), now)
 
 
 def write_export(auctions: DataFrame, notices: DataFrame, out: str, version: str, today: str) -> None:

@@ -10,7 +10,8 @@ the store, so a block that is merged anew doesn't make its auctions new.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.window import Window
 
 from .. import schema as S
@@ -50,39 +51,44 @@ def _bucket(block) -> F.Column:
     return F.pmod(block, F.lit(BUCKETS)).cast("int")
 
 
-def _new_versions(batch: DataFrame, known: DataFrame, now: str) -> DataFrame:
-    """The notices of a batch that say something else than the version before them, oldest first."""
+def _new_versions(batch: DataFrame, known: DataFrame, now: str | None, counted: Observation | None = None) -> DataFrame:
+    """The notices of a batch that say something else than the version before them, oldest first; without `now` they keep their own time."""
     own = [c for c in batch.columns if c not in ("versioned_at", "first_seen")]
     digest = F.sha2(F.to_json(F.struct(*own)), 256)
-    fresh = batch.withColumns({"first_seen": F.lit(now), "_digest": digest, "_old": F.lit(False)})
+    fresh = batch.withColumns({"first_seen": F.lit(now) if now else F.col("first_seen"), "_digest": digest, "_old": F.lit(False)})
     stored = known.select(*batch.columns).withColumns({"_digest": digest, "_old": F.lit(True)})
     both = stored.unionByName(fresh.select(*stored.columns))
     line = Window.partitionBy("source", "source_id").orderBy(F.col("_old").desc(), F.coalesce("versioned_at", F.lit("")), "_digest")
-    told = both.withColumn("_before", F.lag("_digest").over(line))
-    return told.where("not _old and (_before is null or _before != _digest)").drop("_digest", "_old", "_before")
+    told = both.withColumn("_before", F.lag("_digest").over(line)).where("not _old and (_before is null or _before != _digest)")
+    told = told.observe(counted, F.count_if(F.col("_before").isNull()).alias("new"), F.count_if(F.col("_before").isNotNull()).alias("changed")) if counted else told
+    return told.drop("_digest", "_old", "_before")
 
 
-def apply(batch: DataFrame, number: int, store: str, now: str) -> None:
-    """Take one batch of notices into the store as `number`."""
+def apply(batch: DataFrame, number: int, store: str, now: str) -> dict[str, int]:
+    """Take one batch of notices into the store as `number`; how many notices and auctions were new, counted in passing."""
     spark = batch.sparkSession
     holds = _current(spark, store)
     if holds is not None and holds.get(-1, -1) >= number:
-        return  # replayed
+        return {}  # replayed
     holds = holds or {}
     good = batch.where("_error is null").drop("_error") if "_error" in batch.columns else batch
     good = good.select(*[F.col(c) if c in good.columns else F.lit(None).cast(t).alias(c) for c, t in ((f.name, f.dataType) for f in S.struct(S.NOTICE))])
     buckets = {b: n for b, n in holds.items() if b >= 0}
     known = _read(spark, store, "notices", buckets)
     same_ids = known.join(good.select("source", "source_id").distinct(), ["source", "source_id"], "left_semi")
-    fresh = resolve.cut(_new_versions(good, same_ids, now))
+    versions, told = Observation(), Observation()
+    fresh = resolve.cut(_new_versions(good, same_ids, now, versions))
     # stored blocks that a new notice, or an older version of it, may meet
     touched = resolve.cut(resolve.meeting(fresh, known).union(same_ids.select("block")).distinct())
     again = resolve.cut(known.join(touched, "block", "left_semi").drop("group_key", "block").unionByName(fresh))
     if again.isEmpty():
         _commit(spark, store, {**holds, -1: number})
-        return
+        return versions.get
     blocks = resolve.cut(resolve.blocks(again.select("source", "source_id", "case_key", "auctioneer_ico", "auctioneer_name")))
     auctions, assigned = rebuild.fold(again, now, blocks)
+    # what was located stays so
+    before = resolve.cut(_read(spark, store, "auctions", buckets).join(touched, "block", "left_semi"))
+    auctions = rebuild.carried_over(auctions, before)
     where = assigned.select("source", "source_id", "group_key", "block").distinct()
     notices = again.join(where, ["source", "source_id"])
     moved = touched.select("block").union(blocks.select("block")).select(_bucket(F.col("block")).alias("b")).distinct()
@@ -90,11 +96,28 @@ def apply(batch: DataFrame, number: int, store: str, now: str) -> None:
     written = {}
     for name, made in (("auctions", auctions), ("notices", notices)):
         calm = _read(spark, store, name, {b: n for b, n in buckets.items() if b in changed}).join(touched, "block", "left_anti")
+        made = made.observe(told, F.count(F.lit(1)).alias("n")) if name == "auctions" else made
         whole = made.select(*[f.name for f in S.struct(_TABLES[name])]).unionByName(calm)
         whole.withColumn("bucket", _bucket(F.col("block"))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/{name}/{number}")
         written[name] = {r["bucket"] for r in whole.select(_bucket(F.col("block")).alias("bucket")).distinct().collect()}
     kept = {b: n for b, n in buckets.items() if b not in changed}
     _commit(spark, store, {**kept, **dict.fromkeys(written["notices"], number), -1: number})
+    return versions.get | {"new_auctions": told.get["n"] - before.count()}
+
+
+def replace(spark: SparkSession, store: str, notices: DataFrame, auctions: DataFrame, only: list[int] | None = None) -> None:
+    """Put `notices` (with group_key and block) and `auctions` in the place of the store's, of all its buckets or of `only` some.
+
+    New buckets are written first, then the pointer moves, so readers see the old tables or the new ones.
+    """
+    holds = _current(spark, store) or {}
+    number = holds.get(-1, -1) + 1
+    for name, df in (("notices", notices), ("auctions", auctions)):
+        rows = df.select(*[f.name for f in S.struct(_TABLES[name])]).withColumn("bucket", _bucket(F.col("block")))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/{name}/{number}")
+    written = {r["bucket"] for r in auctions.select(_bucket(F.col("block")).alias("bucket")).distinct().collect()}  # at most BUCKETS
+    kept = {b: n for b, n in holds.items() if only is not None and b >= 0 and b not in only}
+    _commit(spark, store, {**kept, **dict.fromkeys(written, number), -1: number})
 
 
 def _commit(spark: SparkSession, store: str, holds: dict[int, int]) -> None:
@@ -117,10 +140,28 @@ def tidy(spark: SparkSession, store: str) -> list[str]:
     return gone
 
 
+class Counts(StreamingQueryListener):
+    """What each batch of a stream counted in passing: rows of (batch, metric name, counts)."""
+
+    def __init__(self) -> None:
+        self.seen: list[tuple[int, str, dict[str, int]]] = []
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802  Spark's names
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        for name, row in event.progress.observedMetrics.items():
+            self.seen.append((event.progress.batchId, name, row.asDict()))
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 def run(spark: SparkSession, landing: str, store: str, checkpoint: str, now: str) -> None:
-    """Take in everything that has landed and stop."""
+    """Take in everything that has landed and stop. Filings and errors are observed as `filings`, for a listener such as `Counts`."""
     stream = read.notices(read.landing_stream(spark, landing))
-    query = stream.writeStream.foreachBatch(lambda batch, k: apply(batch, k, store, now)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = stream.observe("filings", F.count(F.lit(1)).alias("filings"), F.count_if(F.col("_error").isNotNull()).alias("errors"))
+    query = stream.writeStream.foreachBatch(lambda batch, k: apply(resolve.cut(batch), k, store, now)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 

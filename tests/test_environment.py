@@ -24,10 +24,22 @@ for name in {names!r}:
 """
 
 
+def spark_home(folder):
+    """A Spark home of its own: links to the installed one, with a real folder for the workers' files."""
+    import pyspark
+
+    home = folder / "home"
+    (home / "work").mkdir(parents=True, exist_ok=True)
+    for entry in os.listdir(installed := os.path.dirname(pyspark.__file__)):
+        if entry != "work" and not (home / entry).is_symlink():
+            (home / entry).symlink_to(f"{installed}/{entry}")
+    return str(home)
+
+
 def run(folder, master, names, conf=None):
     """Rows per query, in a new process without settings of this machine."""
     (folder / "conf").mkdir(exist_ok=True)
-    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_CONF_DIR")} | {"SPARK_CONF_DIR": str(folder / "conf")}
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_CONF_DIR")} | {"SPARK_CONF_DIR": str(folder / "conf"), "SPARK_HOME": spark_home(folder), "SPARK_SCALA_VERSION": "2.13"}
     done = subprocess.run([sys.executable, "-c", RUN.format(root=ROOT, master=master, names=names, data=DATA, conf=conf or {})], cwd=folder, env=env | {"PYTHONPATH": extra_path()}, capture_output=True, text=True, timeout=600, check=False)
     assert done.returncode == 0, done.stderr[-3000:]
     return {line.split()[1]: int(line.split()[2]) for line in done.stdout.splitlines() if line.startswith("ROWS")}

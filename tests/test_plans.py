@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,19 +196,78 @@ def test_command_line(spark, tmp_path):
     assert jobs.table(spark, store, "runs").where("source = 'ov'").count() == 2
 
 
+def test_reading_again_reaches_the_export(spark, tmp_path):
+    """A stored filing that now reads differently changes the store, its export, and keeps what was located."""
+    landing, store = tmp_path / "in", str(tmp_path / "store")
+    land(landing, "1.json", filing(1, 1, 1000), filing(2, 2, 2000))
+    verb(spark, store, "ov", "--landing", str(landing), "--since", "2031-01-01")
+    (tmp_path / "units.json").write_text(json.dumps({"77": ["Hronec", 48.79, 19.58]}))
+    (tmp_path / "parcels.json").write_text("{}")
+    places = ("--units", str(tmp_path / "units.json"), "--parcels", str(tmp_path / "parcels.json"))
+    exported = lambda: {(r.mb, r.gp) for r in rebuild.read_export(spark, str(tmp_path / "out"), "auctions").collect()}
+    assert verb(spark, store, "geocode", *places)[0] == {"ku": 2}
+    verb(spark, store, "export", "--out", str(tmp_path / "out"))  # without look-up tables
+    assert exported() == {(1000, "ku"), (2000, "ku")}
+    raw = jobs.table(spark, store, "raw").where("source_id = '1'")  # as if the parser read another amount now
+    jobs.append(raw.withColumns({"content": F.replace("content", F.lit(">1000<"), F.lit(">1500<")), "updated_at": F.lit("2031-02-05T00:00:00Z")}), store, "raw")
+    assert verb(spark, store, "reparse")[0] == {"new": 2, "same": 1, "changed": 1}
+    verb(spark, store, "export", "--out", str(tmp_path / "out"), now="2031-02-11T00:00:00+00:00")
+    assert exported() == {(1500, "ku"), (2000, "ku")}
+    assert ingest.tables(spark, store)[0].count() == 3  # a second version of the first notice
+    assert verb(spark, store, "rebuild")[0] == {"new": 2} and ingest.tables(spark, store)[0].count() == 2
+    verb(spark, store, "export", "--out", str(tmp_path / "out"), now="2031-02-12T00:00:00+00:00")
+    assert exported() == {(1500, "ku"), (2000, "ku")}
+    # a further notice merges the block anew: it stays located
+    land(landing, "2.json", filing(4, 1, 1700, "OV_DRAZBA_OZNAMENIE_DOBROVOLNA_OPAKOVANA"))
+    counts, _ = verb(spark, store, "ov", "--landing", str(landing), now="2031-02-13T00:00:00+00:00")
+    assert (counts["new"], counts["changed"], counts["new_auctions"]) == (1, 0, 0)
+    assert {r.geo_precision for r in ingest.tables(spark, store)[1].collect()} == {"ku"}
+
+
 def test_sync_to_a_database(spark, tmp_path):
-    store, url = str(tmp_path / "store"), f"jdbc:derby:{tmp_path}/db;create=true"
+    store, url, driver = str(tmp_path / "store"), f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     ingest.apply(frame(spark, *some()), 0, store, "2031-02-04")
     jobs.log_run(spark, store, "ov", "a", "b", {"fetched": 5})
     made = jobs.sync_tables(spark, store, *ingest.tables(spark, store))
-    assert set(made) == {"auctions", "notices", "properties", "auction_history", "scrape_runs"}
+    assert list(made) == list(jobs.KEYS)
     try:
-        spark._jvm.java.lang.Class.forName("org.apache.derby.jdbc.EmbeddedDriver")
+        spark._jvm.java.lang.Class.forName(driver["driver"])
     except Exception:  # noqa: BLE001
         pytest.skip("no database driver here")
-    counts = jobs.sync(made, url, {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
-    assert counts == jobs.sync(made, url, {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}) and counts["auctions"] == 3 and counts["notices"] == 5
-    assert spark.read.jdbc(url, "notices", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"}).count() == 5
+    there = lambda name: spark.read.jdbc(url, name, properties=driver)
+    statuses = lambda: sorted((r.group_key == "own", r.status) for r in there("auctions").select("group_key", "status").collect())
+    counts = jobs.sync(made, url, driver)
+    assert counts == jobs.sync(made, url, driver) and counts["auctions"] == 3 and counts["notices"] == 5
+    assert {n: there(n).count() for n in made} == counts
+    # a row that only the database knows, and a change that is to be undone by the next run
+    with jobs._connected(spark, url, driver) as c:
+        c.createStatement().executeUpdate('INSERT INTO auctions ("group_key", "status") VALUES (\'own\', \'zrusena\')')
+        c.createStatement().executeUpdate('UPDATE auctions SET "status" = \'neplatna\' WHERE "group_key" <> \'own\'')
+    broken = made | {"properties": made["properties"].withColumn("idx", F.raise_error(F.lit("lost")).cast("int"))}
+    with pytest.raises(Exception, match="lost"):  # half-way: nothing of it is seen
+        jobs.sync(broken, url, driver)
+    twice = made | {"scrape_runs": made["scrape_runs"].union(made["scrape_runs"])}
+    assert statuses() == [(False, "neplatna")] * 3 + [(True, "zrusena")]
+    with pytest.raises(Exception):  # noqa: B017  the last of the merges fails: the first ones are undone
+        jobs.sync(twice | {"auction_history": made["auction_history"].withColumn("field", F.lit(None).cast("string")).withColumnRenamed("field", "no_such_column")}, url, driver)
+    assert statuses() == [(False, "neplatna")] * 3 + [(True, "zrusena")]
+    assert jobs.sync(made, url, driver) == counts
+    assert len(statuses()) == 4 and statuses()[-1] == (True, "zrusena") and "neplatna" not in {s for _, s in statuses()}
+
+
+def test_a_stream_counts_in_passing(spark, tmp_path):
+    listener = ingest.Counts()
+    spark.streams.addListener(listener)
+    try:
+        land(tmp_path / "in", "1.json", filing(1, 1, 1000), filing(2, 2, 2000), {**filing(3, 3, 1), "file_name": "X3-OV_INE-v-1.xml"})
+        ingest.run(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "check"), "2031-02-10")
+        for _ in range(100):
+            if listener.seen:
+                break
+            time.sleep(0.1)
+        assert [(name, c) for _, name, c in listener.seen if c["filings"]] == [("filings", {"filings": 2, "errors": 0})]
+    finally:
+        spark.streams.removeListener(listener)
 
 
 def test_documents_that_cannot_be_read_are_empty(spark, tmp_path):
