@@ -320,3 +320,16 @@ class Ledger:
         point = next((x for x in estate if x.get("lat") is not None), None)
         if point:
             auction.update({"lat": point["lat"], "lng": point["lng"], "geo_precision": point.get("geo_source")})
+
+
+def merged(notices: list[dict], now: str) -> dict:
+    """One auction after its notices in order, where it is known that all of them are of it; a version that says the same is passed over."""
+    ledger = Ledger(now)
+    home, _ = ledger._home(notices[0], now)
+    auction, last = ledger.auctions[home], {}
+    for k, n in enumerate(notices):
+        name, digest = (n["source"], n["source_id"]), content_hash(n)
+        if last.get(name) != digest:
+            ledger._apply(auction, n, k == 0, name in last, now)
+        last[name] = digest
+    return auction
