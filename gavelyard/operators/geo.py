@@ -84,12 +84,14 @@ def locate(properties: DataFrame, units: DataFrame, parcels: DataFrame, normaliz
     centres = named.where("ulat is not null").groupBy("key").agg(F.min_by(F.struct("ulat", "ulng"), "code").alias("c"))
     towns = centres.select(F.col("key").alias("town_key"), F.col("c.ulat").alias("tlat"), F.col("c.ulng").alias("tlng"))
     parts = centres.select(F.col("key").alias("part_key"), F.col("c.ulat").alias("plat"), F.col("c.ulng").alias("plng"))
-    found = base.where("key != ''").join(named, "key").join(towns, "town_key", "left")
+    # units are ranked once for each name and municipality that occur together, not for each property
+    found = base.where("key != ''").select("key", "town_key").distinct().join(named, "key").join(towns, "town_key", "left")
     away = F.when(F.col("town_key").isin("") | (F.col("town_key") == F.col("key")) | F.col("tlat").isNull(), F.lit(0.0)).otherwise(
         F.when(F.col("ulat").isNull(), F.lit(1e9)).otherwise(distance(F.col("ulat"), F.col("ulng"), F.col("tlat"), F.col("tlng")))
     )
-    rank = F.row_number().over(Window.partitionBy("pid").orderBy(away, "code"))
-    near = found.withColumn("rank", rank).where("rank <= 2")
+    rank = F.row_number().over(Window.partitionBy("key", "town_key").orderBy(away, "code"))
+    nearest = found.withColumn("rank", rank).where("rank <= 2").select("key", "town_key", "rank", "code", "ulat", "ulng")
+    near = base.join(nearest, ["key", "town_key"])
     asked = near.select("pid", "rank", "code", F.posexplode("numbers").alias("nth", "number")).withColumn("ref", F.concat("code", F.lit("_"), "number", F.lit(".C")))
     hits = asked.join(parcels.where("lat is not null").select("ref", F.col("lat").alias("hlat"), F.col("lng").alias("hlng"), F.col("geom").alias("hgeom")), "ref")
     per_unit = hits.groupBy("pid", "rank").agg(F.sort_array(F.collect_list(F.struct("nth", "hlat", "hlng", "hgeom"))).alias("h"))

@@ -134,6 +134,24 @@ def test_a_new_first_seen_alerts_nobody_twice(spark, tmp_path):
     assert (a.first_seen, a.status) == ("2031-02-04", "odrocena") and tell("2031-02-11") == 0
 
 
+def test_searches_meet_auctions_by_keys(spark):
+    """Every choice of fields, against the predicate on all pairs; and a plan without a nested loop."""
+    rng = random.Random(9)
+    pick = lambda *values: rng.choice(values)
+    auctions = [(f"a{k}", pick("K1", "K2", None), pick("O1", "O2", None), "x", "x", pick("byt", "dom", "", None), pick("dobrovolna", "exekucna"), pick(None, 10.0, 90.0), None, pick(None, 1, 2), pick("pripravovana", "zrusena"), pick(None, "2031-06-01", "2030-01-01"), pick("Byt v meste", "Dom"), None, "2031-01-05") for k in range(120)]
+    searches = [(f"s{k}", "e", "n", pick("", "K1", None), pick("", "O1", None), pick([], ["byt"], ["byt", "dom", "byt"], ["ine"], None), pick([], ["exekucna"], None), pick(None, 20.0), None, pick("", "1", "2+"), pick("", "byt mest"), pick(True, True, False), "2031-01-01", pick(None, "2031-01-06")) for k in range(90)]
+    a = spark.createDataFrame(auctions, "group_key string, kraj string, okres string, obec string, ku string, property_type string, kind string, min_bid double, appraised_value double, round int, status string, auction_at string, title string, auctioneer_name string, first_seen string")
+    f = spark.createDataFrame(searches, S.SEARCH + ", last_notified_at string")
+    sent, today = spark.createDataFrame([("s1", "a1")], "search_id string, group_key string"), F.to_date(F.lit("2031-01-10"))
+    hits = serve.alerts(a, f, sent, today)
+    got = sorted(map(tuple, hits.collect()))
+    test = serve.alert_predicate("a", "f", today) & (F.col("a.first_seen") > F.coalesce("f.last_notified_at", "f.created_at"))
+    every = a.alias("a").crossJoin(f.where("active").alias("f")).where(test).select("search_id", "group_key").join(sent, ["search_id", "group_key"], "left_anti")
+    assert got == sorted(map(tuple, every.collect())) and len(got) > 100
+    assert "NestedLoop" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert serve.alerts(a, f.limit(0), sent, today).count() == 0
+
+
 TABLE = "<Drazba><Cislo>{n}</Cislo><Drazobnik><ObchodneMenoNazov>Príklep Stred a.s.</ObchodneMenoNazov><Ico>60606060</Ico></Drazobnik><KonanieDatum>20.03.2031</KonanieDatum><KonanieCas>{h}:00</KonanieCas><Predmet>byt č. 3, okres Brezno, k. ú. Hronec, LV {n}</Predmet><NajnizsiePodanie>{p}</NajnizsiePodanie></Drazba>"
 
 
