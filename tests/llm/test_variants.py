@@ -1,6 +1,7 @@
 """Whitening, SimHash and spelling variants against brute force."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -240,3 +241,18 @@ def test_scan_finds_all_words_one_edit_apart(listed, queries):
     for others, same in ((listed, True), (["zz" + w for w in queries], False)):
         got = {(listed[k], others[q]) for k, near in spelling.scan(listed, others, 2, same) for q in near}
         assert got == {(a, b) for a in listed for b in others if distance(a, b) == 1}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_spelling_equals_its_sql(spark):
+    import duckdb
+
+    from gavelyard.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    columns = ["word", "form", "root", "n", "n_near", "form_n"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()['op13_spelling']})").fetchall()
+    got = [tuple(r) for r in queries.op13_spelling(spark, data).select(*columns).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
