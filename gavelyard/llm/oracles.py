@@ -62,3 +62,68 @@ OP13 = r"""WITH RECURSIVE crc AS (SELECT [list_reduce([CAST(i AS UBIGINT), 0, 0,
   forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form, CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
   led AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT led.word, led.next, f.form FROM led JOIN forms f ON f.word = led.next)
 SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM forms f JOIN led l ON l.word = f.word AND l.next IS NULL"""
+
+
+# -- XXH64 in SQL: all in 128-bit whole numbers, reduced modulo 2**64 -----------------------------------------------
+#: Fixed values of XXH64.
+P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+
+
+def _u(v):
+    return f"{v}::UHUGEINT"
+
+
+_ALL = _u(2**64)
+
+
+def _turned(x, r):
+    """Bits turned left by r within 64."""
+    return f"({x} * {_u(2**r)} % {_ALL} + {x} // {_u(2 ** (64 - r))})"
+
+
+def _lane(at, size):
+    return "(" + " + ".join(f"b[{at} + {k + 1}] * {_u(256**k)}" for k in range(size)) + ")"
+
+
+def _mixed(x):
+    """A lane as it enters the digest: turned and multiplied. `x` is a plain name."""
+    return f"({_turned(f'({x} * {_u(P2)} % {_ALL})', 31)} * {_u(P1)} % {_ALL})"
+
+
+def _accumulator(j, start):
+    return (
+        f"list_reduce(list_concat([{_u(start % 2**64)}], [{_lane(f'32 * s + {8 * j}', 8)} FOR s IN range(len(b) // 32)]), lambda v, x: "
+        f"{_turned(f'((v + x * {_u(P2)}) % {_ALL})', 31)} * {_u(P1)} % {_ALL})"
+    )
+
+
+def _step(size, turn, times, plus, operand):
+    return f"{{'k': {operand}, 'up': {_u(2**turn)}, 'down': {_u(2 ** (64 - turn))}, 'times': {_u(times)}, 'plus': {_u(plus)}}}"
+
+
+_TAIL = "(len(b) // 32) * 32"
+_EIGHTS = f"[{_step(8, 27, P1, P4, _mixed('x'))} FOR x IN [{_lane(_TAIL + ' + 8 * s', 8)} FOR s IN range(len(b) % 32 // 8)]]"
+_FOURS = f"[{_step(4, 23, P2, P3, f'{_lane('(len(b) // 8) * 8', 4)} * {_u(P1)} % {_ALL}')} FOR s IN range(len(b) % 8 // 4)]"
+_ONES = f"[{_step(1, 11, P1, 0, f'b[(len(b) // 4) * 4 + s + 1] * {_u(P5)} % {_ALL}')} FOR s IN range(len(b) % 4)]"
+_MERGED = ", ".join(_step(8, 0, P1, P4, _mixed(f"v{j}")) for j in range(4))
+
+#: XXH64 (seed 42) of shingles in whole numbers, bits by majority, links at 3 bits or fewer between distinct fingerprints.
+OP12 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+  shingles AS (SELECT doc_id, unnest([array_to_string(l[i:i + 2], ' ') FOR i IN range(1, greatest(2, len(l) - 1))]) AS s FROM w WHERE len(l) > 0),
+  coded AS (SELECT s, hex(encode(s)) AS x FROM (SELECT DISTINCT s FROM shingles)),
+  bytes AS (SELECT s, [CAST((strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1 AS UHUGEINT) FOR i IN range(len(x) // 2)] AS b FROM coded),
+  long AS (SELECT *, {', '.join(f'{_accumulator(j, start)} AS v{j}' for j, start in enumerate((42 + P1 + P2, 42 + P2, 42, 42 - P1)))} FROM bytes),
+  begun AS (SELECT *, CASE WHEN len(b) < 32 THEN [{_u((42 + P5) % 2**64)}] ELSE [({_turned('v0', 1)} + {_turned('v1', 7)} + {_turned('v2', 12)} + {_turned('v3', 18)}) % {_ALL}] END AS h0, CASE WHEN len(b) < 32 THEN [] ELSE [{_MERGED}] END AS first FROM long),
+  merged AS (SELECT s, b, (list_reduce(list_concat([{{'h': h0[1], 'p': NULL}}], [{{'h': 0::UHUGEINT, 'p': p}} FOR p IN first]), lambda a, c: {{'h': (xor(a.h, c.p.k) * c.p.times + c.p.plus) % {_ALL}, 'p': c.p}}).h + len(b)::UHUGEINT) % {_ALL} AS h FROM begun),
+  ended AS (SELECT s, list_reduce(list_concat([{{'h': h, 'p': NULL}}], [{{'h': 0::UHUGEINT, 'p': p}} FOR p IN list_concat({_EIGHTS}, {_FOURS}, {_ONES})]),
+    lambda a, c: {{'h': ((xor(a.h, c.p.k) * c.p.up % {_ALL} + xor(a.h, c.p.k) // c.p.down) * c.p.times + c.p.plus) % {_ALL}, 'p': c.p}}).h AS h FROM merged),
+  m1 AS (SELECT s, xor(h, h // {_u(2**33)}) * {_u(P2)} % {_ALL} AS h FROM ended), m2 AS (SELECT s, xor(h, h // {_u(2**29)}) * {_u(P3)} % {_ALL} AS h FROM m1),
+  hashed AS (SELECT s, CAST(xor(h, h // {_u(2**32)}) AS UBIGINT) AS h FROM m2),
+  bits AS (SELECT doc_id, count(*) AS n, {', '.join(f'count(*) FILTER (WHERE (h >> {k}) & 1 = 1) AS c{k}' for k in range(64))} FROM shingles JOIN hashed USING (s) GROUP BY doc_id),
+  signed AS (SELECT doc_id, CAST({' + '.join(f'CASE WHEN 2 * c{k} > n THEN {_u(2**k)} ELSE 0 END' for k in range(64))} AS UBIGINT) AS f FROM bits UNION ALL SELECT doc_id, 0 FROM w WHERE len(l) = 0),
+  nodes AS (SELECT f, min(doc_id) AS least FROM signed GROUP BY f),
+  links AS (SELECT a.f, b.f AS other FROM nodes a JOIN nodes b ON a.f <> b.f AND bit_count(xor(a.f, b.f)) <= 3),
+  reached AS (SELECT f, f AS other FROM nodes UNION SELECT r.f, l.other FROM reached r JOIN links l ON l.f = r.other),
+  roots AS (SELECT r.f, min(n.least) AS component_id FROM reached r JOIN nodes n ON n.f = r.other GROUP BY r.f)
+SELECT doc_id, lower(lpad(to_hex(f), 16, '0')) AS fingerprint, component_id FROM signed JOIN roots USING (f)"""

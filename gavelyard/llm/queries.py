@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": oracles.OP1, "op3_quality_rules": oracles.OP3, "op10_chat": oracles.OP10, "op13_spelling": oracles.OP13}
+    return {"op1_minhash": oracles.OP1, "op3_quality_rules": oracles.OP3, "op10_chat": oracles.OP10, "op12_simhash": oracles.OP12, "op13_spelling": oracles.OP13}

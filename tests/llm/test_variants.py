@@ -244,7 +244,8 @@ def test_scan_finds_all_words_one_edit_apart(listed, queries):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-def test_spelling_equals_its_sql(spark):
+@pytest.mark.parametrize("name", ["op12_simhash", "op13_spelling"])
+def test_results_equal_their_sql(spark, name):
     import duckdb
 
     from gavelyard.llm import queries
@@ -252,7 +253,6 @@ def test_spelling_equals_its_sql(spark):
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
-    columns = ["word", "form", "root", "n", "n_near", "form_n"]
-    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()['op13_spelling']})").fetchall()
-    got = [tuple(r) for r in queries.op13_spelling(spark, data).select(*columns).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    df = queries.queries()[name](spark, data)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
