@@ -69,3 +69,18 @@ def test_locate(spark):
     got = {r.pid: (r.precision, r.lat, r.geom and len(r.geom)) for r in geo.locate(df, units, parcels).collect()}
     assert got == {"both": ("parcela", 49.001, 2), "missing": ("ku", 49.0, None), "quoted": ("ku", 49.0, None), "town": ("obec", 49.02, None), "none": (None, None, None)}
     assert {r.pid: r.precision for r in geo.locate(df, units, parcels, normalize_register=True).collect()}["quoted"] == "parcela"
+
+
+def test_sql_names_plan_without_python(spark):
+    from gavelyard.functions import sql
+    from gavelyard.operators import merge
+
+    names = sql.register(spark)
+    written = ["JUDr. Vzor Peter", "Vzor JUDr. Peter, PhD.", "", None, "Žiar nad Hronom, s. r. o.", "<p>1 200,- EUR o 9.30 hod</p>", "vlastník Ján Novák, nar. 1.1.1970"]
+    df = spark.createDataFrame([(w,) for w in written], "written string").repartition(1)
+    calls = df.selectExpr("written", *[f"{n}(written) as {n}" for n in (*sql.WRITTEN, "executor_key")])
+    assert set(sql.WRITTEN) <= set(names) and not any(x in calls._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow"))
+    same = df.select("written", *[f(df.written).alias(n) for n, (f, _) in sql.WRITTEN.items()])
+    rows, direct = ({r.written: r.asDict() for r in x.collect()} for x in (calls, same))
+    for w in written:
+        assert {n: rows[w][n] for n in sql.WRITTEN} == {n: direct[w][n] for n in sql.WRITTEN} and rows[w]["executor_key"] == merge.executor_key(w)
