@@ -113,9 +113,9 @@ def with_next(rows: DataFrame, made: dict[str, Column], wanted: list[str], wide:
 
     The order is descending doc_id; after the last comes the first. Rows are shuffled once, to ranges of doc_id whose
     borders come from a quantile sketch of that column, in three levels of `wide` (which follows the number of rows, up
-    to `most`: 262,144 ranges), so a row is compared with few borders. Within a range the next row is a window's lead;
-    only the first row of each range is computed a second time, and these meet the ranges' ends in a join with one row
-    per range. Rows that repeat a doc_id are ordered by text, and a null doc_id is the smallest.
+    to `most`: 262,144 ranges), so a row is compared with few borders. Within a range the next row is a window's lead.
+    The first row of each range also goes, as a row more, to the end of the range before it, where it is the last row's
+    lead; so texts are never broadcast, only the ranges' numbers (16 bytes a range). Rows that repeat a doc_id are ordered by text, and a null doc_id is the smallest.
     """
     count = rows.count()
     wide = wide or max(1, min(most, round((count / 2000) ** (1 / 3))))
@@ -134,16 +134,15 @@ def with_next(rows: DataFrame, made: dict[str, Column], wanted: list[str], wide:
     for step in (wide * wide, wide, 1):
         placed = placed.withColumn("_range", F.col("_range") + above(step, F.col("_range")) * step)
     placed = placed.withColumn("_range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("_range")))
-    order = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    led = placed.withColumns(made).withColumn("_led", F.lead(F.struct(*wanted)).over(order))
     # One row per range, in a single task: its top doc_id and the range that comes before it.
     tops = placed.groupBy("_range").agg(F.max(F.coalesce("doc_id", F.lit(_LEAST))).alias("_top"))
     line = Window.partitionBy(F.lit(0)).orderBy(F.col("_range").desc())
     tops = tops.withColumn("_before", F.coalesce(F.lag("_range").over(line), F.min("_range").over(Window.partitionBy(F.lit(0)))))
     heads = placed.join(F.broadcast(tops), "_range").where(F.coalesce("doc_id", F.lit(_LEAST)) == F.col("_top"))
-    heads = heads.groupBy("_before").agg(F.min("text").alias("text")).withColumns(made).select("_before", F.struct(*wanted).alias("_head"))
-    ends = led.join(F.broadcast(heads), (led["_range"] == heads["_before"]) & led["_led"].isNull(), "left")
-    return ends.withColumn("next", F.coalesce("_led", "_head")).drop("_range", "_before", "_led", "_head")
+    heads = heads.groupBy("_before").agg(F.min("text").alias("text")).select(F.col("_before").alias("_range"), "text", F.lit(1).alias("_head"))
+    both = placed.withColumn("_head", F.lit(0)).unionByName(heads, allowMissingColumns=True)
+    order = Window.partitionBy("_range").orderBy("_head", F.col("doc_id").desc_nulls_last(), "text")
+    return both.withColumns(made).withColumn("next", F.lead(F.struct(*wanted)).over(order)).where("_head = 0").drop("_range", "_head")
 
 
 def edit_fingerprints(docs: DataFrame) -> DataFrame:
