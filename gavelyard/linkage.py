@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from . import fixed as X
 from .functions import payload
-from .operators import geo, match, serve, states
+from .operators import geo, match, notices, serve, states
 from .queries import ITEMS_SQL, items, query, t
 from .sources import read
 from .sources.scratch import folder
@@ -142,3 +142,42 @@ def land_areas(spark, sf_dir):
     parcel = F.array(F.struct(area.alias("area_m2")))
     each = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(parcel.alias("parcels"))).alias("properties"))
     return each.select("l_orderkey", serve.land_area(F.col("properties")).alias("land_area"))
+
+
+# -- notices -----------------------------------------------------------------------------------------------------
+@query("""SELECT event_id, CASE WHEN b IS NULL THEN 'new' WHEN b = c THEN 'same' ELSE 'changed' END AS result FROM (SELECT event_id, c, lag(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM (SELECT *, event_type || ' ' || CAST(CAST(floor(value / 40) AS BIGINT) AS VARCHAR) AS c FROM events))""")
+def notice_versions(spark, sf_dir):
+    """Every event as a version of its user's notice: what it says anew."""
+    e = t(spark, sf_dir, "events")
+    rows = e.select(F.lit("ov").alias("source"), F.col("user_id").cast("string").alias("source_id"), F.col("event_type").alias("notice_type"), F.floor(F.col("value") / 40).alias("min_bid"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("versioned_at"), F.col("event_id").alias("_id"))
+    return notices.versions(rows, F.col("versioned_at"), F.col("_id")).select(F.col("_id").alias("event_id"), "result")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'ov|' || CAST(o_orderkey AS VARCHAR) ELSE 'c' || CAST(o_custkey AS VARCHAR) END || CASE WHEN o_orderkey % 3 <> 0 THEN '' WHEN o_orderkey % 6 = 0 THEN '||' ELSE '|dolna ves|' || CASE WHEN o_orderkey % 9 = 0 THEN '10,7' ELSE '8' END END AS group_key FROM orders""")
+def group_keys(spark, sf_dir):
+    """Keys of auctions, for executions with unit and folios."""
+    o, key = t(spark, sf_dir, "orders"), F.col("o_orderkey")
+    estate = F.when(key % 6 != 0, F.when(key % 9 == 0, _estate(F.lit("7"), F.lit("10"))).otherwise(_estate(F.lit("8"))))
+    rows = o.select("o_orderkey", F.lit("ov").alias("source"), key.cast("string").alias("source_id"), F.when(key % 3 == 0, "exekucna").otherwise("danova").alias("kind"), F.when(key % 4 != 0, F.concat(F.lit("c"), "o_custkey")).alias("case_key"), estate.alias("properties"))
+    return rows.select("o_orderkey", notices.group_key().alias("group_key"))
+
+
+@query("""SELECT l_orderkey, label, arg_min(l_returnflag, (day, part, line)) AS notice_type, min(day) AS published_at FROM (SELECT l_orderkey, 'L' || CAST(l_suppkey % 4 AS VARCHAR) AS label, l_returnflag, strftime(l_shipdate, '%Y-%m-%d') AS day, CAST(l_partkey AS VARCHAR) AS part, l_linenumber AS line FROM (SELECT DISTINCT ON (l_orderkey, l_shipdate, l_partkey) * FROM lineitem ORDER BY l_orderkey, l_shipdate, l_partkey, l_linenumber)) GROUP BY l_orderkey, label""")
+def told_by(spark, sf_dir):
+    """Orders as auctions, lines as their notices: each label once, by the first notice."""
+    li = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_shipdate", "l_partkey").agg(F.min(F.struct("l_linenumber", "l_suppkey", "l_returnflag")).alias("x")).select("*", "x.*")
+    rows = li.select("l_orderkey", F.lit("ov").alias("source"), F.col("l_partkey").cast("string").alias("source_id"), F.concat(F.lit("L"), F.col("l_suppkey") % 4).alias("source_label"), F.lit("u").alias("source_url"), F.col("l_returnflag").alias("notice_type"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("published_at"))
+    return notices.sources(rows, "l_orderkey").select("l_orderkey", "label", "notice_type", "published_at")
+
+
+@query("""SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'A') THEN 'byt' WHEN bool_or(l_returnflag = 'N') THEN 'dom' ELSE 'garaz' END AS main_type, arg_min(CAST(l_partkey AS VARCHAR), l_linenumber) FILTER (WHERE l_linestatus = 'O') AS obec, 'Nitriansky kraj' AS kraj
+  FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) GROUP BY l_orderkey""")
+def estate_places(spark, sf_dir):
+    """Orders as estates of their lines: main type, town of the first line that has one, region of its district."""
+    li = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
+    kind = F.when(F.col("l_returnflag") == "A", "byt").when(F.col("l_returnflag") == "N", "dom").otherwise("garaz")
+    none = F.lit(None).cast("string")
+    one = F.struct(kind.alias("type"), none.alias("kraj"), F.lit("Nitra").alias("okres"), F.when(F.col("l_linestatus") == "O", F.col("l_partkey").cast("string")).alias("obec"), none.alias("ku"))
+    estates = li.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", one.alias("p")))), lambda x: x["p"]).alias("properties"))
+    p = notices.place(F.col("properties"))
+    return estates.select("l_orderkey", p["property_type"].alias("main_type"), p["obec"].alias("obec"), p["kraj"].alias("kraj"))

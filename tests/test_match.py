@@ -1,9 +1,10 @@
 """Matching as joins, states as aggregates and versions compared, against the ordered merge on random stories."""
 
+import json
 import random
 
 from gavelyard import fixed as X, schema as S
-from gavelyard.operators import match, states
+from gavelyard.operators import match, merge, notices as N, states
 from gavelyard.operators.merge import Ledger, differs, same_auctioneer, written
 from gavelyard.plans.rebuild import fold_order
 
@@ -127,3 +128,33 @@ def test_versions(spark):
     want = [(k, "created" if k not in before else "vanished", None, None, None) for k in before.keys() ^ after.keys()]
     want += [(k, "changed", f, written(before[k][f]), written(v)) for k in before.keys() & after.keys() for f, v in after[k].items() if differs(before[k][f], v)]
     assert got == sorted(want, key=str) and {r[1] for r in got} == {"created", "vanished", "changed"}
+
+
+def test_expressions_equal_the_merge(spark):
+    """Keys, compatibility, types, places and versions, row by row against the functions of the ordered merge."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(300):
+        estate = [{"type": rng.choice([None, "", *X.TYPE_PRIORITY]), "kraj": rng.choice([None, None, "Nitriansky kraj"]), "okres": rng.choice([None, "Nitra", "Košice - okolie", "x"]), "obec": rng.choice([None, "", "Nitra", "Brezno"]), "ku": rng.choice([None, "", "Dolná Ves"]), "lv": rng.choice([None, [], ["9", "10"], ["7"]])} for _ in range(rng.randint(0, 3))]
+        rows.append({
+            "source": rng.choice(["ov", "ncrd"]), "source_id": str(k % 90), "kind": rng.choice(["exekucna", "dobrovolna", None]), "case_key": rng.choice([None, "", "c|1"]), "auction_at": rng.choice([None, "2031-03-20", "2031-03-20T09:00:00", "2031-03-20T10:00:00", "2031-03-21T09:00:00"]),
+            "auction_number": rng.choice([None, "N 1", "n1", "2"]), "properties": estate, "min_bid": rng.choice([None, 1.0]), "versioned_at": f"{k:03d}",
+        })
+    df = frame(spark, rows, S.NOTICE)
+    got = {r.versioned_at: r for r in df.select("versioned_at", N.group_key().alias("key"), N.place(df.properties).alias("p")).collect()}
+    pairs = df.where("cast(versioned_at as int) < 60").select("versioned_at", "auction_at", "auction_number")
+    fit = {(r.a, r.n): r.ok for r in pairs.alias("a").crossJoin(pairs.alias("n")).select("a.versioned_at", "n.versioned_at", N.compatible("a", "n").alias("ok")).toDF("a", "n", "ok").collect()}
+    for r in rows:
+        now = got[r["versioned_at"]]
+        assert now.key == merge.group_key(r)
+        auction = {"properties": r["properties"], "kraj": None}
+        Ledger(NOW)._locate(auction)
+        assert now.p is None if not r["properties"] else tuple(now.p) == tuple(auction.get(c) for c in ("property_type", "kraj", "okres", "obec", "ku")), r
+    for a in rows[:60]:
+        for n in rows[:60]:
+            assert fit[a["versioned_at"], n["versioned_at"]] == merge.compatible(a, n)
+    seen, told = {}, {r.versioned_at: r.result for r in N.versions(df, df.versioned_at).collect()}
+    for r in rows:
+        name, digest = (r["source"], r["source_id"]), merge.content_hash({**r, "properties": json.dumps(r["properties"])})
+        assert told[r["versioned_at"]] == ("new" if name not in seen else "same" if seen[name] == digest else "changed")
+        seen[name] = digest
