@@ -144,7 +144,8 @@ def sync(tables: dict[str, DataFrame], url: str, properties: dict[str, str] | No
         kinds = dict(df.dtypes)
         texts = ", ".join(f"{c} VARCHAR({KEY_LENGTH})" for c in KEYS[name] if kinds[c] == "string")
         counted = Observation()
-        rows = df.observe(counted, F.count(F.lit(1)).alias("n")).coalesce(connections)
+        # made by all tasks first: only the loading is limited to a few
+        rows = rebuild.resolve.cut(df.observe(counted, F.count(F.lit(1)).alias("n"))).coalesce(connections)
         write = lambda frame, to, mode: frame.write.options(**{"createTableColumnTypes": texts} if texts else {}).jdbc(url, to, mode, properties)  # noqa: B023, E731
         write(rows, f"{name}_staging", "overwrite")
         write(df.limit(0), name, "append")  # makes the table where there is none
