@@ -10,12 +10,12 @@ A worker process keeps its memory for later tasks; it is bounded and starts anew
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
-import struct
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s$")
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]  # all there are, the space itself included
 #: Fixed value: the public pattern that byte-level BPE of this family divides texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -29,6 +29,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def lone_spaces(text: str) -> bool:
+    """Whether each space stands between two visible characters. Looks for few characters; a pattern would visit all."""
+    if text[:1] == " " or text[-1:] == " ":
+        return False
+    return not any(c in text and (c + " " in text or " " + c in text) for c in _SPACES)
+
+
 class _Memory(dict):
     """Packed ids by stretch; `new` computes those of an unknown one."""
 
@@ -53,7 +60,11 @@ class Encoder:
         self.divide = regex.compile(PATTERN).findall
         # the byte alphabet: visible Latin-1 characters stand for themselves, the rest for those from U+0100 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.alphabet = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+        rest = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+        self.alphabet = "".join(chr(rest.get(b, b)) for b in range(256))
+        self.space = self.alphabet[32]
+        self.merge = self.tokenizer.model.tokenize
+        self.packed = [k.to_bytes(4, "little") for k in range(max(self.tokenizer.get_vocab().values(), default=0) + 1)]
         # A stretch is kept without the space in front of it; one without such a space is marked by a NUL.
         self.known = _Memory()
         self.known.new = self._stretch
@@ -66,23 +77,24 @@ class Encoder:
             if not text:
                 out.append(b"")
                 continue
-            found = _GAP.split(text) if _ODD.search(text) else text.split(" ")
+            found = text.split(" ") if lone_spaces(text) else _GAP.split(text)
             found[0] = "\0" + found[0]
             out.append(b"".join(map(get, found)))
         return out
 
     def _stretch(self, s: str) -> bytes:
         if s.isalpha():
-            return self._part(" " + s)
-        if s[:-1].isalpha() and s[-1] in ".,;:!?":
+            return self._merged(self.space + (s if s.isascii() else self._shown(s)))
+        if s[-1] in ".,;:!?" and s[:-1].isalpha():
             return self.known[s[:-1]] + self.known["\0" + s[-1]]
-        if s[:1] == "\0" and s[1:].isalpha():
-            return self._part(s[1:])
-        parts = self.divide(s[1:] if s[:1] == "\0" else " " + s)
+        parts = self.divide(s[1:] if s[0] == "\0" else " " + s)
         if len(parts) == 1:
-            return self._part(parts[0])
+            return self._merged(self._shown(parts[0]))
         return b"".join([self.known[p[1:]] if p[0] == " " and p[1:].strip() else self.known["\0" + p] for p in parts])
 
-    def _part(self, p: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(p.encode().decode("latin-1").translate(self.alphabet))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _shown(self, p: str) -> str:
+        return codecs.charmap_decode(p.encode(), "strict", self.alphabet)[0]
+
+    def _merged(self, shown: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merge(shown)])

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 import zlib
 
@@ -9,7 +10,7 @@ import sentencepiece
 
 from gavelyard.llm import pieces
 from gavelyard.llm.pieces import BPE, UNIGRAM, Model
-from gavelyard.llm.tokens import Encoder
+from gavelyard.llm.tokens import Encoder, lone_spaces
 
 BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -32,6 +33,32 @@ def test_byte_bpe_equals_the_library():
     assert got == want and encoder.ids([None]) == [b""]
 
 
+def test_lone_spaces_by_definition():
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    given = [x for c in spaces for x in (c, f"a{c}b", f"a{c} b", f"a {c}b", f"{c}a b", f"a b{c}", f"a{c}{c}b c")]
+    for text in [*given, *texts(1500), *texts(800, "ab \n"), "中 文 \u3000", "a\x1c b"]:
+        assert lone_spaces(text) == (len(re.findall(r"(?<=\S) (?=\S)", text)) == text.count(" ")), text
+
+
+def test_known_words_cost_little_beside_their_look_up():
+    """A text of remembered words takes about the time of dividing it and looking each word up; nothing else visits all characters."""
+    rng, encoder = random.Random(3), Encoder(BYTE_BPE)
+    words = ["".join(rng.choice("abdeinort") for _ in range(rng.randint(4, 12))) for _ in range(200)]
+    given = [" ".join(rng.choices(words, k=500)) for _ in range(200)]
+    encoder.ids(given)
+    get = encoder.known.__getitem__
+
+    def least(f):
+        took = []
+        for _ in range(9):
+            began = time.thread_time()
+            f()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert least(lambda: encoder.ids(given)) < 2 * least(lambda: [b"".join(map(get, x.split(" ")[1:])) for x in given])
+
+
 @pytest.fixture(scope="module")
 def model_bytes():
     with open(PIECES, "rb") as f:
