@@ -77,6 +77,9 @@ class Encoder:
             if not text:
                 out.append(b"")
                 continue
+            if "\0" in text:  # the mark of a stretch without a space, so nothing of such a text is remembered
+                out.append(b"".join([self._merged(self._shown(p)) for p in self.divide(text)]))
+                continue
             found = text.split(" ") if lone_spaces(text) else _GAP.split(text)
             found[0] = "\0" + found[0]
             out.append(b"".join(map(get, found)))

@@ -33,6 +33,12 @@ def test_byte_bpe_equals_the_library():
     assert got == want and encoder.ids([None]) == [b""]
 
 
+def test_texts_with_nul_equal_the_library():
+    encoder, rng = Encoder(BYTE_BPE), random.Random(8)
+    given = ["x \0a", "a \0 b", "\0a b", "a\0b c", "x \0", "\0", " \0", "x \0\0a", *("".join(rng.choice("ab \0\n.é") for _ in range(12)) for _ in range(500))]
+    assert [ids(x) for x in encoder.ids(given)] == [x.ids for x in encoder.tokenizer.encode_batch(given, add_special_tokens=False)]
+
+
 def test_lone_spaces_by_definition():
     spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
     given = [x for c in spaces for x in (c, f"a{c}b", f"a{c} b", f"a {c}b", f"{c}a b", f"a b{c}", f"a{c}{c}b c")]
