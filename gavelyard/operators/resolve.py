@@ -10,9 +10,10 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import executor_key, norm_key
+from ..sources.scratch import drop, keep
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -27,16 +28,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component): smallest node reachable. Labels spread over edges and are then followed once, so rounds are few."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
-    labels = cut(nodes.select("node").distinct().withColumn("component", F.col("node")))
+    spark = edges.sparkSession
+    both, ends = keep(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct(), "edges")
+    labels, path = keep(nodes.select("node").distinct().withColumn("component", F.col("node")), "labels")
     for _ in range(most_rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("least")).withColumnRenamed("a", "node")
         spread = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("before"))
         # follow the label of the label
         onward = labels.select(F.col("node").alias("component"), F.col("component").alias("onward"))
-        jumped = cut(spread.join(onward, "component", "left").select("node", F.least("component", F.coalesce("onward", "component")).alias("component"), "before"))
-        labels = jumped.select("node", "component")
+        jumped, now = keep(spread.join(onward, "component", "left").select("node", F.least("component", F.coalesce("onward", "component")).alias("component"), "before"), "labels")
+        drop(spark, path)
+        labels, path = jumped.select("node", "component"), now
         if jumped.where("component != before").isEmpty():
+            drop(spark, ends)
             return labels
     raise RuntimeError("components did not settle")
 
@@ -81,29 +85,64 @@ def meeting(fresh: DataFrame, known: DataFrame, least: int = 7) -> DataFrame:
     return direct.union(stored.join(tied, "k", "left_semi").select("block"))
 
 
-def blocks(notices: DataFrame) -> DataFrame:
-    """(source, source_id, block) for each notice.
+def _key(kind: str, c: Column) -> Column:
+    return F.when(c.isNotNull() & (c != ""), F.xxhash64(F.concat(F.lit(f"{kind}|"), c)))
+
+
+def _own() -> Column:
+    return F.xxhash64(F.concat_ws("|", F.lit("i"), "source", "source_id"))
+
+
+def _first_key() -> Column:
+    """What a notice stands for while blocks are found: its company number, else its case, else itself."""
+    return F.coalesce(_key("n", F.col("auctioneer_ico")), _key("c", F.col("case_key")), _own())
+
+
+def _name_keys(notices: DataFrame) -> DataFrame | None:
+    """(auctioneer_name, by_name, by_executor): the keys of names as written; None where every name has a company number.
 
     Two company numbers are compared with each other and not the names, so a name ties notices only where one of
-    them has no number.
+    them has no number. Names of which one contains the other are one key.
     """
-    name, executor = norm_key(F.col("auctioneer_name")), executor_key(F.col("auctioneer_name"))
-    own = F.concat_ws("|", F.lit("i"), "source", "source_id")
-    keyed = cut(notices.select("source", "source_id", own.alias("own"), "case_key", "auctioneer_ico", F.when(name != "", name).alias("name"), F.when(F.col("auctioneer_name").isNotNull(), executor).alias("executor")))
     bare = F.col("auctioneer_ico").isNull()
-    # (name, is it used without a number?)
-    used = keyed.where("name is not null").groupBy("name").agg(F.bool_or(bare).alias("bare"))
+    if notices.where(bare & F.col("auctioneer_name").isNotNull()).isEmpty():
+        return None
+    written = notices.where("auctioneer_name is not null").groupBy("auctioneer_name").agg(F.bool_or(bare).alias("bare"))
+    name = norm_key(F.col("auctioneer_name"))
+    names, _ = keep(written.select("auctioneer_name", "bare", F.when(name != "", name).alias("name"), executor_key(F.col("auctioneer_name")).alias("executor")), "names")
+    used = names.where("name is not null").groupBy("name").agg(F.bool_or("bare").alias("bare"))
     pairs = contained_names(used.select("name")).join(used.select(F.col("name").alias("a"), F.col("bare").alias("bare_a")), "a").join(used.select(F.col("name").alias("b"), F.col("bare").alias("bare_b")), "b").where("bare_a or bare_b")
-    pairs = cut(pairs.select("a", "b"))
-    tying = used.where("bare").select("name").union(pairs.select("a")).union(pairs.select("b")).distinct().withColumn("by_name", F.lit(True))
-    executors = keyed.where(bare & F.col("executor").isNotNull()).select("executor").distinct().withColumn("by_executor", F.lit(True))
-    marked = keyed.join(tying, "name", "left").join(executors, "executor", "left")
-    key = lambda kind, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{kind}|"), c))
+    pairs, _ = keep(pairs.select(_key("m", F.col("a")).alias("a"), _key("m", F.col("b")).alias("b")), "pairs")
+    nodes = used.where("bare").select(_key("m", F.col("name")).alias("node")).union(pairs.select("a")).union(pairs.select("b"))
+    tying = components(pairs, nodes).withColumnRenamed("component", "by_name")
     # an executor's empty name equals another empty one, so it is a key too
-    keys = F.array_compact(F.array(key("c", F.col("case_key")), key("n", F.col("auctioneer_ico")), F.when(F.col("by_name"), key("m", F.col("name"))), F.when(F.col("by_executor"), F.concat(F.lit("x|"), F.col("executor")))))
-    edges = marked.select(F.xxhash64("own").alias("a"), F.explode(keys).alias("k")).select("a", F.xxhash64("k").alias("b"))
-    hashed = lambda c: F.xxhash64(F.concat(F.lit("m|"), c))
-    edges = edges.union(pairs.select(hashed(F.col("a")), hashed(F.col("b"))))
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).union(keyed.select(F.xxhash64("own")))
-    found = components(edges, nodes)
-    return keyed.join(found, F.xxhash64("own") == F.col("node")).select("source", "source_id", F.col("component").alias("block")).distinct()
+    executors = names.where("bare").select("executor", F.xxhash64(F.concat(F.lit("x|"), "executor")).alias("by_executor")).distinct()
+    return names.join(tying, _key("m", F.col("name")) == F.col("node"), "left").join(executors, "executor", "left").select("auctioneer_name", "by_name", "by_executor").where("by_name is not null or by_executor is not null")
+
+
+def with_blocks(notices: DataFrame) -> DataFrame:
+    """`notices` with their `block`.
+
+    Most keys belong to notices of one first key alone and tie nothing; they are told by the least and the largest first
+    key, and only those that tie two become edges. So rows meet once as pairs of numbers, whatever their texts' size.
+    """
+    narrow = notices.select("source", "source_id", "case_key", "auctioneer_ico", "auctioneer_name")
+    names = _name_keys(narrow)
+    keys = [_own(), _key("c", F.col("case_key"))]
+    if names is not None:
+        narrow, keys = narrow.join(names, "auctioneer_name", "left"), [*keys, F.col("by_name"), F.col("by_executor")]
+    # a company number is the first key of all that have it, so it ties nothing else
+    each = narrow.select(_first_key().alias("first"), F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    ends = each.groupBy("key").agg(F.min("first").alias("least"), F.max("first").alias("most"))
+    shared, _ = keep(ends.where("least != most").select("key", "least"), "shared")
+    if shared.isEmpty():
+        return notices.withColumn("block", _first_key())
+    edges, _ = keep(each.join(shared, "key").where("first != least").select(F.col("first").alias("a"), F.col("least").alias("b")).distinct(), "ties")
+    found = components(edges, edges.select(F.col("a").alias("node")).union(edges.select("b")))
+    marked = notices.withColumn("_first", _first_key()).join(found.withColumnRenamed("node", "_first"), "_first", "left")
+    return marked.withColumn("block", F.coalesce("component", "_first")).drop("_first", "component")
+
+
+def blocks(notices: DataFrame) -> DataFrame:
+    """(source, source_id, block) for each notice."""
+    return with_blocks(notices).select("source", "source_id", "block").distinct()

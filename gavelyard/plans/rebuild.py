@@ -16,6 +16,7 @@ from ..functions.text import norm_key
 from ..operators import geo, resolve, serve
 from ..operators.merge import Ledger
 from ..sources import read
+from ..sources.scratch import keep
 
 
 def fold_order(n: dict) -> tuple:
@@ -33,8 +34,8 @@ def in_order(notices: DataFrame) -> DataFrame:
     return serve.placed(notices, *fold_order_columns())
 
 
-def _merged(now: str, block: int, bodies: list[str]) -> Iterator[tuple[int, str, str]]:
-    """(block, kind, JSON) of the auctions and assignments of one block's notices."""
+def _merged(now: str, kinds: tuple[str, ...], block: int, bodies: list[str]) -> Iterator[tuple[int, str, str]]:
+    """(block, kind, JSON) of the auctions and assignments of one block's notices, as far as asked for."""
     ledger = Ledger(now)
     results = []
     for n in sorted(map(json.loads, bodies), key=fold_order):
@@ -43,35 +44,55 @@ def _merged(now: str, block: int, bodies: list[str]) -> Iterator[tuple[int, str,
         row = {"source": n["source"], "source_id": n["source_id"], "result": result, "content_hash": known["content_hash"], "group_key": known["group_key"], "first_seen": known["first_seen"]}
         results.append(row | {"case_key": n.get("case_key")})
     for kind, rows in (("auction", ledger.auctions.values()), ("notice", results)):
-        for row in rows:
+        for row in rows if kind in kinds else ():
             yield block, kind, json.dumps(row, ensure_ascii=False)
 
 
-def _fold(now: str):
+def _fold(now: str, kinds: tuple[str, ...]):
     """Rows (block, body) come sorted by block; each block is merged as soon as the next one begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((b, x) for batch in batches for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        merged = (row for block, own in groupby(rows, key=itemgetter(0)) for row in _merged(now, block, [x for _, x in own]))
+        merged = (row for block, own in groupby(rows, key=itemgetter(0)) for row in _merged(now, kinds, block, [x for _, x in own]))
         while some := list(islice(merged, 2000)):
             yield pa.record_batch([pa.array(c) for c in zip(*some, strict=True)], ["block", "kind", "body"])
 
     return run
 
 
-def fold(notices: DataFrame, now: str, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(auctions, assignments) of all notices: one keyed shuffle by block, then the exact ordered merge.
+def _out(notices: DataFrame, now: str, *kinds: str, blocks: DataFrame | None = None) -> DataFrame:
+    """(block, kind, body) of the merge, made when it is read: one keyed shuffle by block, then the exact ordered merge."""
+    body = F.to_json(F.struct(*[c for c in notices.columns if not c.startswith("_")]))
+    tied = resolve.with_blocks(notices) if blocks is None else notices.join(blocks, ["source", "source_id"])
+    dealt = tied.select("block", body.alias("body")).repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(_fold(now, kinds), "block long, kind string, body string")
+
+
+def merged(notices: DataFrame, now: str, blocks: DataFrame | None = None) -> DataFrame:
+    """(block, auction, notice): a row for each auction and each assignment of all notices, the other column null.
 
     A block holds all notices of one auctioneer and those tied to them; a very large one is one task, whose rows are
-    indexed by day and folio, so its time grows with its notices and not with their square. Both results have `block`.
+    indexed by day and folio, so its time grows with its notices and not with their square.
     """
-    blocks = resolve.blocks(notices) if blocks is None else blocks
-    body = F.to_json(F.struct(*[c for c in notices.columns if not c.startswith("_")]))
-    rows = notices.withColumn("body", body).select("source", "source_id", "body").join(blocks, ["source", "source_id"]).select("block", "body")
-    dealt = rows.repartition("block").sortWithinPartitions("block")
-    out = resolve.cut(dealt.mapInArrow(_fold(now), "block long, kind string, body string"))
-    read = lambda kind, ddl: out.where(F.col("kind") == kind).select("block", F.from_json("body", S.struct(ddl)).alias("r")).select("r.*", "block")
-    return read("auction", S.AUCTION), read("notice", S.ASSIGNMENT)
+    typed = lambda kind, ddl: F.when(F.col("kind") == kind, F.from_json("body", S.struct(ddl))).alias(kind)
+    return _out(notices, now, "auction", "notice", blocks=blocks).select("block", typed("auction", S.AUCTION), typed("notice", S.ASSIGNMENT))
+
+
+def fold(notices: DataFrame, now: str, blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(auctions, assignments) of all notices, merged once and kept for any number of readers. Both have `block`."""
+    out, _ = keep(merged(notices, now, blocks), "merged")
+    read = lambda kind: out.where(f"{kind} is not null").select(f"{kind}.*", "block")
+    return read("auction"), read("notice")
+
+
+def auctions_of(notices: DataFrame, now: str) -> DataFrame:
+    """The auctions of `fold` alone, for one reader: nothing is kept on disk."""
+    return _out(notices, now, "auction").select("block", F.from_json("body", S.struct(S.AUCTION)).alias("r")).select("r.*", "block")
+
+
+def assignments_of(notices: DataFrame, now: str) -> DataFrame:
+    """The assignments of `fold` alone, for one reader: nothing is kept on disk."""
+    return _out(notices, now, "notice").select("block", F.from_json("body", S.struct(S.ASSIGNMENT)).alias("r")).select("r.*", "block")
 
 
 def latest_notices(*parts: DataFrame) -> DataFrame:
