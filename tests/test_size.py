@@ -31,3 +31,8 @@ def left(spark, tmp_path, monkeypatch):
 def test_auction_rebuild_keeps_no_copy_of_notices(left):
     rows, kept = left("auction_rebuild")
     assert len(rows) == 1500 and kept < 10_000
+
+
+def test_auction_rebuild_sources_keeps_no_copy_of_notices(left):
+    rows, kept = left("auction_rebuild_sources")
+    assert len(rows) == 1500 + sum(1 for r in rows if r.label and not r.label.removeprefix(r.source + ' ').isdigit()) and kept < 10_000
