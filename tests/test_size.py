@@ -36,3 +36,8 @@ def test_auction_rebuild_keeps_no_copy_of_notices(left):
 def test_auction_rebuild_sources_keeps_no_copy_of_notices(left):
     rows, kept = left("auction_rebuild_sources")
     assert len(rows) == 1500 + sum(1 for r in rows if r.label and not r.label.removeprefix(r.source + ' ').isdigit()) and kept < 10_000
+
+
+def test_change_history_keeps_no_copy_of_notices(left):
+    rows, kept = left("change_history")
+    assert len(rows) == len({(r.group_key, r.changed_at, r.field) for r in rows}) > 0 and kept < 10_000
