@@ -46,3 +46,8 @@ def test_change_history_keeps_no_copy_of_notices(left):
 def test_rule_a_unique_match_keeps_no_copy_of_notices(left):
     rows, kept = left("rule_a_unique_match")
     assert rows and all(r.source_id.endswith("-r") for r in rows) and kept < 10_000
+
+
+def test_rule_b_next_round_keeps_no_copy_of_notices(left):
+    rows, kept = left("rule_b_next_round")
+    assert rows and all(r.source_id.endswith("-2") for r in rows) and kept < 10_000
