@@ -154,7 +154,9 @@ def rolled_up(auctions: DataFrame) -> DataFrame:
 
 def case_counts(notices: DataFrame) -> DataFrame:
     """(group_key, source, cases): by the rules an auction has one case of the register at most."""
-    return notices.groupBy("group_key", "source").agg(F.count_distinct("case_key").alias("cases"))
+    # dealt by auction, rows need no second exchange for the distinct cases
+    dealt = notices.select("group_key", "source", "case_key").repartition("group_key")
+    return dealt.groupBy("group_key", "source").agg(F.count_distinct("case_key").alias("cases"))
 
 
 def read_again(raw: DataFrame, stored: DataFrame, now: str) -> DataFrame:

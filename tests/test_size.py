@@ -51,3 +51,8 @@ def test_rule_a_unique_match_keeps_no_copy_of_notices(left):
 def test_rule_b_next_round_keeps_no_copy_of_notices(left):
     rows, kept = left("rule_b_next_round")
     assert rows and all(r.source_id.endswith("-2") for r in rows) and kept < 10_000
+
+
+def test_register_cases_keeps_no_copy_of_notices(left):
+    rows, kept = left("register_cases")
+    assert len(rows) == 2000 and kept < 10_000
