@@ -95,6 +95,11 @@ def assignments_of(notices: DataFrame, now: str) -> DataFrame:
     return _out(notices, now, "notice").select("block", F.from_json("body", S.struct(S.ASSIGNMENT)).alias("r")).select("r.*", "block")
 
 
+def both_of(notices: DataFrame, now: str, fields: str) -> DataFrame:
+    """(block, kind, `fields`) of auctions and assignments from one merge, for one reader; what a kind lacks is null."""
+    return _out(notices, now, "auction", "notice").select("block", "kind", F.from_json("body", S.struct(fields)).alias("r")).select("block", "kind", "r.*")
+
+
 def latest_notices(*parts: DataFrame) -> DataFrame:
     """Notices of several origins, one per (source, source_id): the later part wins."""
     out = None

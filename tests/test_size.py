@@ -56,3 +56,8 @@ def test_rule_b_next_round_keeps_no_copy_of_notices(left):
 def test_register_cases_keeps_no_copy_of_notices(left):
     rows, kept = left("register_cases")
     assert len(rows) == 2000 and kept < 10_000
+
+
+def test_content_hash_dedup_keeps_no_copy_of_notices(left):
+    rows, kept = left("content_hash_dedup")
+    assert len(rows) == 4500 and kept < 10_000
