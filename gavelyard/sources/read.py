@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
@@ -58,24 +59,29 @@ def raw_in_order(raw: DataFrame, source: str) -> DataFrame:
     return serve.placed(raw.where(F.col("source") == source), F.col("source_id").try_cast("long").asc_nulls_first(), F.col("source_id").asc())
 
 
+def _typed(df: DataFrame, parse_row: Callable[..., dict | None]) -> DataFrame:
+    """Notices that `parse_row` makes of the rows of `df`, each row parsed once, whatever is selected or filtered later."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (parse_row(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            yield pa.record_batch([pa.array([json.dumps(n, ensure_ascii=False) for n in found if n], pa.string())], ["body"])
+
+    return df.mapInArrow(run, "body string").select(F.from_json("body", S.struct(f"{S.NOTICE}, _error string")).alias("n")).select("n.*")
+
+
 def notices(raw: DataFrame) -> DataFrame:
     """Typed notices of the filings that are auctions, and `_error` where one could not be parsed (to try again)."""
 
-    @F.pandas_udf("string")
-    def parsed(file_name: pd.Series, content: pd.Series, meta: pd.Series) -> pd.Series:
-        out = []
-        for name, body, rest in zip(file_name, content, meta, strict=True):
-            try:
-                notice = parse.filing({**json.loads(rest), "file_name": name, "content": body})
-                out.append(json.dumps(notice, ensure_ascii=False) if notice else None)
-            except Exception as e:  # noqa: BLE001  one bad filing doesn't stop a run
-                out.append(json.dumps({"_error": f"{type(e).__name__}: {e}", "source": "ov", "source_id": json.loads(rest).get("source_id")}))
-        return pd.Series(out, dtype=object)
+    def parsed(name: str, body: str, rest: str) -> dict | None:
+        try:
+            return parse.filing({**json.loads(rest), "file_name": name, "content": body})
+        except Exception as e:  # noqa: BLE001  one bad filing doesn't stop a run
+            return {"_error": f"{type(e).__name__}: {e}", "source": "ov", "source_id": json.loads(rest).get("source_id")}
 
     meta = F.to_json(F.struct("source_id", "created_at", "updated_at", "bulletin_issue"))
     wanted = raw.where(is_auction(F.col("file_name")) & (F.col("content") != ""))
-    read = F.from_json(parsed("file_name", "content", meta), S.struct(f"{S.NOTICE}, _error string"))
-    return wanted.select(read.alias("n")).where("n is not null").select("n.*")
+    return _typed(wanted.select("file_name", "content", meta.alias("meta")), parsed)
 
 
 def register_notices(pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -86,20 +92,14 @@ def register_notices(pages: DataFrame, known: DataFrame | None = None) -> DataFr
     if known is not None:
         pages = pages.join(known.select("act_id"), "act_id", "left_anti")
 
-    @F.pandas_udf("string")
-    def parsed(row: pd.Series, page: pd.Series, text: pd.Series) -> pd.Series:
-        out = []
-        for r, p, t in zip(row, page, text, strict=True):
-            r = json.loads(r)
-            try:
-                notice = parse.register_notice(r, parse.register_detail(p or ""), t)
-                out.append(json.dumps(notice, ensure_ascii=False) if notice else None)
-            except Exception as e:  # noqa: BLE001  one bad page doesn't stop a run
-                out.append(json.dumps({"_error": str(e), "source": "ncrd", "source_id": r.get("act_id")}))
-        return pd.Series(out, dtype=object)
-
-    read = F.from_json(parsed("row", "detail", "text"), S.struct(f"{S.NOTICE}, _error string"))
-    return pages.select(read.alias("n")).where("n is not null").select("n.*")
+    def parsed(row: str, page: str | None, text: str | None) -> dict | None:
+        r = json.loads(row)
+        try:
+            return parse.register_notice(r, parse.register_detail(page or ""), text)
+        except Exception as e:  # noqa: BLE001  one bad page doesn't stop a run
+            return {"_error": str(e), "source": "ncrd", "source_id": r.get("act_id")}
+
+    return _typed(pages.select("row", "detail", "text"), parsed)
 
 
 def register_rows(pages: DataFrame, column: str = "html") -> DataFrame:
