@@ -32,3 +32,8 @@ def test_bare_tags_read_as_by_the_parser():
         want.feed(text)
         want.close()
         assert parse._Plain(text).out == want.out, text
+
+
+@needs_data
+def test_parse_filings_once(spark):
+    assert parsed_once_in_parallel(plan(spark, "parse_filings"))
