@@ -42,3 +42,8 @@ def test_parse_filings_once(spark):
 @needs_data
 def test_parse_tax_once(spark):
     assert parsed_once_in_parallel(plan(spark, "parse_tax"))
+
+
+@needs_data
+def test_parse_decrees_once(spark):
+    assert parsed_once_in_parallel(plan(spark, "parse_decrees"))
