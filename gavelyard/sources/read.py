@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -105,12 +106,14 @@ def register_notices(pages: DataFrame, known: DataFrame | None = None) -> DataFr
 def register_rows(pages: DataFrame, column: str = "html") -> DataFrame:
     """Listing rows (act_id, row as JSON) of result pages, each act once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for page in batch[column] for r in parse.register_listing(page or "")]
-            yield pd.DataFrame({"act_id": [r["act_id"] for r in rows], "row": [json.dumps(r, ensure_ascii=False) for r in rows]})
+            # a batch of pages has far more rows than it; they go out as they are read
+            rows = (r for page in batch.column(0) for r in parse.register_listing(page.as_py() or ""))
+            while some := list(islice(rows, 1000)):
+                yield pa.record_batch([pa.array([r["act_id"] for r in some], pa.string()), pa.array([json.dumps(r, ensure_ascii=False) for r in some], pa.string())], ["act_id", "row"])
 
-    return pages.select(column).mapInPandas(run, "act_id string, row string").dropDuplicates(["act_id"])
+    return pages.select(column).mapInArrow(run, "act_id string, row string").dropDuplicates(["act_id"])
 
 
 def full_days(rows: DataFrame, limit: int = 20) -> DataFrame:

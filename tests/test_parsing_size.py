@@ -47,3 +47,11 @@ def test_parse_tax_once(spark):
 @needs_data
 def test_parse_decrees_once(spark):
     assert parsed_once_in_parallel(plan(spark, "parse_decrees"))
+
+
+def test_rows_of_pages_go_out_in_small_batches(spark):
+    """A page's rows are many times the page's own, so a batch of pages must not become one batch of rows."""
+    line = "<tr><td><a href='/x?actId={:06x}'>N</a></td><td>A</td><td>B</td><td>C</td><td></td><td>1.2.2031</td></tr>"
+    pages = [("<table class='search_results'>" + "".join(line.format(20 * p + k) for k in range(20)) + "</table>",) for p in range(200)]
+    rows = read.register_rows(spark.createDataFrame(pages, "html string").coalesce(1))
+    assert rows.count() == 4000 and "MapInPandas" not in rows._jdf.queryExecution().executedPlan().toString()
