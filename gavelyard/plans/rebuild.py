@@ -179,7 +179,8 @@ def reparse(raw: DataFrame, stored: DataFrame, now: str) -> tuple[DataFrame, Dat
     Stored notices go first, then their filings as further versions in the order of their ids: a changed one keeps its
     auction and first day of publication, and its properties replace the old ones even where they say less.
     """
-    return fold(resolve.cut(stored.unionByName(read_again(raw, stored, now), allowMissingColumns=True)), now)
+    versions, _ = keep(stored.unionByName(read_again(raw, stored, now), allowMissingColumns=True), "versions")
+    return fold(versions, now)
 
 
 def write_export(auctions: DataFrame, notices: DataFrame, out: str, version: str, today: str) -> None:

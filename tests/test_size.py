@@ -61,3 +61,9 @@ def test_register_cases_keeps_no_copy_of_notices(left):
 def test_content_hash_dedup_keeps_no_copy_of_notices(left):
     rows, kept = left("content_hash_dedup")
     assert len(rows) == 4500 and kept < 10_000
+
+
+def test_reparse_counts_keeps_versions_compressed(left, tmp_path):
+    rows, _ = left("reparse_counts")
+    assert {r.result: r.n for r in rows} == {"new": 1500, "same": 750, "changed": 750}
+    assert not [d for d, _, _ in os.walk(tmp_path) if os.path.basename(d).startswith("rdd-")]
